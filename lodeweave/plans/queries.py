@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from ..operators import packed
+from ..session import table as t
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "p4_found": lambda s, d: packed.found(t(s, d, "video_infos"), t(s, d, "records"), t(s, d, "aliases"), t(s, d, "genres")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
