@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table as t
-from . import leaks, lookalike, merkle, mixing, residue, survivor
+from . import leaks, lookalike, merkle, mixing, pii, residue, survivor
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "p8_items": lambda s, d: leaks.item_report(leaks.leaks(t(s, d, "documents"), t(s, d, "eval_items")), t(s, d, "eval_items")),
         "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixing.shares(mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")), t(s, d, "mix_targets")),
+        "p10_found": lambda s, d: pii.find(t(s, d, "documents"), t(s, d, "aliases")),
+        "p10_redacted": lambda s, d: pii.redact(t(s, d, "documents"), pii.find(t(s, d, "documents"), t(s, d, "aliases"))),
     }
 
 
