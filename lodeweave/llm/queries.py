@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from ..session import table as t
-from . import leaks, lookalike, merkle, mixing, pii, residue, survivor
+from . import leaks, linkage, lookalike, merkle, mixing, pii, residue, survivor
 
 
 def queries() -> dict:
     return {
         "p2_found": lambda s, d: residue.found(t(s, d, "video_infos"), t(s, d, "records")),
         "p2_left_out": lambda s, d: residue.clean(t(s, d, "video_infos"), t(s, d, "records")),
+        "p3_found": lambda s, d: linkage.found(t(s, d, "video_infos"), t(s, d, "records")),
+        "p3_links": lambda s, d: linkage.link(t(s, d, "video_infos"), t(s, d, "records")),
         "p5_found": lambda s, d: survivor.found(t(s, d, "video_infos"), t(s, d, "records"), t(s, d, "claims"), residue.album_residue(t(s, d, "video_infos"))),
         "p5_survivors": lambda s, d: survivor.all_survivors(t(s, d, "video_infos"), t(s, d, "records"), t(s, d, "claims"), residue.album_residue(t(s, d, "video_infos"))),
         "p6_found": lambda s, d: merkle.found(t(s, d, "video_infos"), t(s, d, "agreed")),
