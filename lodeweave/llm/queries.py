@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from ..session import table as t
-from . import leaks, linkage, lookalike, merkle, mixing, pii, residue, survivor
+from . import leaks, linkage, lookalike, merkle, mixing, names, pii, residue, survivor
 
 
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: names.found(t(s, d, "records"), t(s, d, "aliases"), t(s, d, "video_infos")),
+        "p1_canonical": lambda s, d: names.canonical(t(s, d, "records"), t(s, d, "aliases"), t(s, d, "video_infos")),
         "p2_found": lambda s, d: residue.found(t(s, d, "video_infos"), t(s, d, "records")),
         "p2_left_out": lambda s, d: residue.clean(t(s, d, "video_infos"), t(s, d, "records")),
         "p3_found": lambda s, d: linkage.found(t(s, d, "video_infos"), t(s, d, "records")),

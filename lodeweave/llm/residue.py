@@ -14,7 +14,7 @@ from ..session import cut
 TRUSTED = (
     r"\$\{.*\}|\{\{.*\}\}|\{%.*%\}|<%.*%>|<\?.*\?>|%\(\w+\)s|#\{.*\}|^\W*\{\w*\}|\[\[.*\]\]|^\W*__\w+__|^\W*\$[A-Z_]+\$|^\W*%[\w.]+%",
     r"^\W*<[\w .]+>\W*$|^\W*:\w+:\d*\W*$|^\W*\[[a-z_]+ name\]|^\W*\(\w+ name here\)",
-    r"lorem ipsum|dolor sit amet|consectetur adipiscing|blindtext|goes here|^\W*insert \w+ here|^\W*your \w+ name\W*$|^\W*todo\W|(?:placeholder|sample|filler|dummy) (?:text|artist|album|track|title|name)\b|@@\w+@@|^\W*&\w+;\W*$",
+    r"lorem ipsum|dolor sit amet|consectetur adipiscing|blindtext|goes here|^\W*insert \w+ here|^\W*your \w+ name\W*$|^\W*todo\W|(?:placeholder|sample|filler|dummy) (?:text|artist|album|track|title|name)(?:_\w+)?\b|@@\w+@@|^\W*&\w+;\W*$",
     r"^\W*(?:http )?error \d+|^\W*\d{3} (?:bad|internal|not|service|gateway|forbidden|unauthorized)|^\W*http \d{3}|gateway timeout|too many requests|request blocked|seite nicht gefunden|page introuvable|p[aá]gina no encontrada|page not found|this video is (?:un|not )|page you are looking for|requested url|something went wrong|an error occurred",
     r"javascript|noscript|enable cookies|cookies (?:are|must|to)|requires? (?:scripts|cookies)|support scripts|checking your browser|session expired|timed out|access denied\W+code",
     r"exception at|exception in|is not a function|object object|undefined (?:index|variable|method|is)|stack trace|traceback",
@@ -107,7 +107,7 @@ def model_of(texts: DataFrame) -> dict:
     def ranked(df: DataFrame, n: int, of: int) -> list[str]:
         # The smallest hashes, first cut to about twice as many as wanted, so that no task sends more than its part.
         bound = 1.0 if of <= 2 * n else 2.0 * n / of
-        few = df.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= int((2 * bound - 1) * (2**63 - 1)))
+        few = df.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= min(2**63 - 1, int((2 * bound - 1) * 2.0**63)))
         return [r["text"] for r in few.orderBy("h", "text").limit(n).collect()]
 
     return fit(ranked(texts.filter(sure), FIT_TRUSTED, counts["sure"]), ranked(texts.filter(~sure), FIT_OTHERS, counts["others"]))
