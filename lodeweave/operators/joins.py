@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def exploded(df: DataFrame, array: str, position: str, value: str) -> DataFrame:
     """A row for each element with its position; rows of a null or empty array are dropped."""
@@ -85,11 +87,20 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str])
     return met.filter(~F.col("was").eqNullSafe(F.col("now")))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row: a lambda's variable isn't inlined where it is used again and again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(words: Column, k: int) -> Column:
     """Runs of k words, or all as one where there are fewer; none of no words."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(n >= k, F.array_distinct(many)).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return once(words, runs)
 
 
 def containment(shared: Column, a: Column, b: Column) -> Column:
@@ -102,6 +113,53 @@ def shared_shingles(left: DataFrame, lkey: str, right: DataFrame, rkey: str, wor
 
     Sets meet by their shingles' hashes; sizes travel along, so no text is shuffled.
     """
-    sets = lambda df, key, w: df.select(F.col(key), F.transform(shingles(w, k), lambda s: F.xxhash64(s)).alias("s")).select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("s"))
+    sets = lambda df, key, w: df.select(F.col(key), once(shingles(w, k), lambda v: F.transform(v, lambda s: F.xxhash64(s))).alias("s")).select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("s"))
     met = sets(left, lkey, words_l).join(sets(right, rkey, words_r), "s").groupBy(lkey, rkey).agg(F.count("*").alias("c"), F.first(f"n_{lkey}").alias("a"), F.first(f"n_{rkey}").alias("b"))
     return met.withColumn("share", containment(F.col("c"), F.col("a"), F.col("b"))).filter(F.col("share") >= least).select(lkey, rkey, "share")
+
+
+def similar_sets(df: DataFrame, key: str, words: Column, k: int = 5, least: float = 0.8) -> DataFrame:
+    """key_a < key_b, share of different texts whose sets of k-word shingles have a Jaccard share of the least or more.
+
+    Exact by prefix filtering: a set's shingles are ordered from the rarest, and pairs of that share must meet in the first
+    n - ceil(share * n) + 1 of them, so the commonest shingles make no block. Sets of equal shingles are one class, with the
+    smallest key; classes() gives the members. Texts without words are in no class.
+    """
+    return similar_reps(classes_of_sets(df, key, words, k)[0], least)
+
+
+def similar_reps(reps: DataFrame, least: float) -> DataFrame:
+    """similar_sets() of sets that are made already: rep, s (distinct hashes), n."""
+    long = reps.select("rep", "n", F.explode("s").alias("s"))
+    df_ = long.groupBy("s").agg(F.count("*").alias("df"))
+    ordered = long.join(df_, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    take = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
+    prefix = ordered.select("rep", "n", F.explode(F.transform(F.slice("o", F.lit(1), take), lambda x: x["s"])).alias("s"))
+    a = prefix.select(F.col("rep").alias("key_a"), F.col("n").alias("na"), "s")
+    b = prefix.select(F.col("rep").alias("key_b"), F.col("n").alias("nb"), "s")
+    met = a.join(b, "s").filter((F.col("key_a") < F.col("key_b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("key_a", "key_b").dropDuplicates()
+    sets = reps.select("rep", "s")
+    both = met.join(sets.select(F.col("rep").alias("key_a"), F.col("s").alias("sa")), "key_a").join(sets.select(F.col("rep").alias("key_b"), F.col("s").alias("sb")), "key_b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    share = common / (F.size("sa") + F.size("sb") - common)
+    return both.withColumn("share", share).filter(F.col("share") >= least).select("key_a", "key_b", "share")
+
+
+def classes_of_sets(df: DataFrame, key: str, words: Column, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rep, s, n) of each set of shingle hashes and (key, rep) of each row: copies are one set."""
+    hashed = once(shingles(words, k), lambda v: F.array_sort(F.transform(v, lambda x: F.xxhash64(x))))
+    rows = cut(df.select(F.col(key).alias("key"), hashed.alias("s")).filter(F.size("s") > 0)).withColumn("h", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
+    reps = rows.groupBy("h").agg(F.min(F.struct("key", "s")).alias("m")).select("h", F.col("m.key").alias("rep"), F.col("m.s").alias("s"))
+    return reps.select("rep", "s", F.size("s").alias("n")), rows.select("key", "h").join(reps.select("h", "rep"), "h").select("key", "rep")
+
+
+def near_duplicate_classes(df: DataFrame, key: str, words: Column, k: int = 5, least: float = 0.8) -> DataFrame:
+    """key, class_id, links of every row with words: the smallest key of its class, and to how many other texts it is linked."""
+    from .components import components
+
+    reps, member = classes_of_sets(df, key, words, k)
+    pairs = cut(similar_reps(reps, least))
+    label = components(pairs, "key_a", "key_b")
+    ends = pairs.select(F.col("key_a").alias("rep")).unionByName(pairs.select(F.col("key_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    met = member.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").join(ends, "rep", "left")
+    return met.select(F.col("key").alias(key), F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

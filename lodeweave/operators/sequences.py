@@ -24,7 +24,7 @@ def budget_prefix(df: DataFrame, key: list[str], order: list, cost: str, most: C
 def latest(df: DataFrame, key: list[str], at: list[str]) -> DataFrame:
     """The row of each key with the greatest values of at (a total order), by partial maximum."""
     rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.max(F.struct(*[F.col(a).alias(f"_a{i}") for i, a in enumerate(at)], F.struct(*rest).alias("_row"))).alias("_m")).select(*key, "_m._row.*")
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*[F.col(a).alias(f"_a{i}") for i, a in enumerate(at)])).alias("_m")).select(*key, "_m.*")
 
 
 def stamp_ms(text: Column) -> Column:

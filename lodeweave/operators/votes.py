@@ -20,8 +20,8 @@ def weighted_score(measures: list[tuple[int, Column]]) -> tuple[Column, Column]:
 def argmin(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order, by partial minimum: no group is sorted or gathered."""
     rest = [c for c in df.columns if c not in key]
-    rank = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("_row"))
-    return df.groupBy(*key).agg(F.min(rank).alias("_m")).select(*key, "_m._row.*")
+    rank = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("_m")).select(*key, "_m.*")
 
 
 def bounded(value: Column, clean: Column, key: list[str]) -> Column:

@@ -153,7 +153,7 @@ def parse_cue(text: str) -> list[tuple]:
 
 
 def _texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def tag_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
