@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,13 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder so that later stages don't compute them again.
+    """The rows of df, written as a table in the shared checkpoint folder so that later stages don't compute them again.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named
-    (tests on one machine) a temporary one is made.
+    The folder is the one the session names in spark.checkpoint.dir; only where none is named (tests on one machine) a
+    temporary one is made. A table is compressed and read by column, unlike a checkpoint; it goes when the session
+    ends, or with discard().
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeweave-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a cut() that nothing reads any more."""
+    path = getattr(df, "_cut", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
