@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -24,8 +24,8 @@ NAMES = re.compile(r"[;|\t\n\\、·/]+|\s+&\s+|,\s+|\s+and\s+|\s+\+\s+|\s+x\s+|\
 #: Names (words in order) that stand for nobody.
 NOBODY = {"artistunknown", "artistsvarious", "artistvarious"}
 BUCKET_S = 6
-UPLOAD = "title_keys array<string>, names array<string>, tokens array<string>, version string, keys array<bigint>, weak array<bigint>"
-RECORD = "title_key string, names array<string>, tokens array<string>, version string, keys array<bigint>, weak array<bigint>"
+UPLOAD = "title_keys array<string>, names array<bigint>, tokens array<bigint>, words array<string>, version string, track bigint, topic bigint, keys array<bigint>"
+RECORD = "title_key string, title bigint, names array<bigint>, tokens array<bigint>, words array<string>, version string, keys array<bigint>"
 #: Votes with the number of their outcomes; 0 is always "says nothing".
 VOTES = {"title": 4, "artist": 4, "length": 6, "version": 5, "track": 3, "channel": 3}
 ROUNDS, PRIOR, BELIEF, GROWTH = 100, 0.5, 0.05, 3.0
@@ -64,10 +64,6 @@ def version_of(text: str | None) -> str:
     return " ".join(words(m[1])) if m else ""
 
 
-def _weak(tokens: set, buckets: list, title_words: set) -> list[int]:
-    return [_hash("w", t, b, w) for t in tokens for b in buckets for w in title_words if len(w) > 2]
-
-
 def upload_features(title, artist, creator, channel, track, duration) -> dict:
     text = DECORATION.sub(" ", title or "")
     version = version_of(text)
@@ -79,8 +75,10 @@ def upload_features(title, artist, creator, channel, track, duration) -> dict:
     if len(parts) > 1:
         runs |= {parts[0]: parts[1:], parts[-1]: parts[:-1]}
     known = [n for f in (artist, creator) for n in [f or "", *NAMES.split(f or "")] if n.strip()]
+    topic = None
     if channel and channel.endswith(" - Topic"):
         known.append(channel[:-8])
+        topic = name_forms(channel[:-8])[1]
     titles, names, tokens, keys, buckets = {}, set(), set(), set(), []
     for n in [*known, *(x for g in guests for x in NAMES.split(g))]:
         full, token = name_forms(n)
@@ -105,11 +103,13 @@ def upload_features(title, artist, creator, channel, track, duration) -> dict:
         keys |= {_hash("a", k, t) for t in tokens | own}
         keys |= {_hash("d", k, b) for b in buckets}
         title_words |= set(words(" ".join(run)))
-    if track and (k := letters(VERSION.sub(" ", track))) and k not in titles:
+    track_key = letters(VERSION.sub(" ", track)) if track else ""
+    if (k := track_key) and k not in titles:
         titles[k] = set()
         keys |= {_hash("a", k, t) for t in tokens} | {_hash("d", k, b) for b in buckets}
     every = tokens | {t for own in titles.values() for t in own}
-    return {"title_keys": list(titles), "names": sorted(names), "tokens": sorted(every), "version": version, "keys": sorted(keys), "weak": sorted(_weak(every, buckets, title_words))}
+    hashed = lambda xs: sorted(_hash(x) for x in xs)
+    return {"title_keys": list(titles), "names": hashed(names), "tokens": hashed(every), "track": _hash(track_key) if track_key else None, "topic": _hash(topic) if topic else None, "words": sorted(w for w in title_words if len(w) > 2), "version": version, "keys": sorted(keys)}
 
 
 def record_features(title, artists, version, length_ms) -> dict:
@@ -118,12 +118,13 @@ def record_features(title, artists, version, length_ms) -> dict:
     tokens = {t for _, t in forms if t}
     bucket = [] if length_ms is None or length_ms != length_ms else [int(length_ms // (1000 * BUCKET_S))]
     keys = {_hash("a", k, t) for t in tokens} | {_hash("d", k, b) for b in bucket} if k else set()
-    return {"title_key": k, "names": sorted({f for f, t in forms if t}), "tokens": sorted(tokens), "version": " ".join(words(version or "")), "keys": sorted(keys), "weak": sorted(_weak(tokens, bucket, set(words(title or ""))))}
+    return {"title_key": k, "title": _hash(k), "names": sorted({_hash(f) for f, t in forms if t}), "tokens": sorted(map(_hash, tokens)), "words": sorted({w for w in words(title or "") if len(w) > 2}), "version": " ".join(words(version or "")), "keys": sorted(keys)}
 
 
 def _rows(f, columns: list[str]):
     def series(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([f(*r) for r in zip(*[df[c].astype(object).where(df[c].notna(), None) for c in columns], strict=True)])
+        rows = [f(*r) for r in zip(*[df[c].astype(object).where(df[c].notna(), None) for c in columns], strict=True)]
+        return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype="Int64" if c in ("track", "topic", "title") else object) for c in (rows[0] if rows else [])})
 
     return series
 
@@ -134,7 +135,7 @@ def uploads(videos: DataFrame) -> DataFrame:
     fields = ["title", "artist", "creator", "channel", "track", "duration_s"]
     one = videos.filter(F.col("source_key").isNotNull()).groupBy("source_key").agg(*[rank(F.col(c)).alias(c) for c in fields])
     f = F.pandas_udf(_rows(upload_features, fields), UPLOAD)
-    return one.select("source_key", "channel", "track", "duration_s", f(F.struct(*fields)).alias("u"))
+    return one.select(F.xxhash64("source_key").alias("uid"), "source_key", "duration_s", f(F.struct(*fields)).alias("u"))
 
 
 def recordings(records: DataFrame) -> DataFrame:
@@ -147,26 +148,33 @@ def recordings(records: DataFrame) -> DataFrame:
     )
     fields = ["title", "artists", "version", "length_ms"]
     f = F.pandas_udf(_rows(record_features, fields), RECORD)
-    return per.filter(F.col("title").isNotNull()).select("id", "length_ms", f(F.struct(*fields)).alias("r"))
+    return per.filter(F.col("title").isNotNull()).select(F.xxhash64("id").alias("rid"), "id", "length_ms", f(F.struct(*fields)).alias("r"))
 
 
-def candidates(u: DataFrame, r: DataFrame) -> DataFrame:
-    """source_key, id of pairs that share a title and an artist's word, or a title and about a length.
+def candidates(u: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """uid, rid of pairs that share a title and an artist's word, or a title and about a length; and of weaker pairs.
 
     Uploads that meet no recording so (a slip in the title) are held to those with an artist's word, about a length and
-    one word of the title in common; of these, link() keeps titles within three slips. Every key is narrow, so no title, artist or length alone makes a block.
+    one word of the title in common; of these, link() keeps titles within three slips. Every key is narrow, so no title,
+    artist or length alone makes a block. uid and rid are 64-bit hashes of the keys, so that pairs stay small; among a
+    billion uploads the chance that any two share one is one in forty.
     """
-    strong = u.select("source_key", F.explode("u.keys").alias("k")).join(r.select("id", F.explode("r.keys").alias("k")), "k").select("source_key", "id").dropDuplicates()
-    left = u.join(strong.select("source_key").dropDuplicates(), "source_key", "left_anti")
-    weak = left.select("source_key", F.explode("u.weak").alias("k")).join(r.select("id", F.explode("r.weak").alias("k")), "k").select("source_key", "id").dropDuplicates()
-    return strong.unionByName(weak)
+    strong = cut(u.select("uid", F.explode("u.keys").alias("k")).join(r.select("rid", F.explode("r.keys").alias("k")), "k").select("uid", "rid").dropDuplicates())
+    left = u.join(strong.select("uid").dropDuplicates(), "uid", "left_anti").filter("duration_s IS NOT NULL")
+    bucket = F.floor(F.col("duration_s") / BUCKET_S)
+    mine = _weak_keys(left.withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1))), "uid", "u")
+    theirs = _weak_keys(r.filter("length_ms IS NOT NULL").withColumn("b", F.floor(F.col("length_ms") / (1000 * BUCKET_S))), "rid", "r")
+    return strong, mine.join(theirs, "k").select("uid", "rid").dropDuplicates()
+
 
+def _weak_keys(df: DataFrame, key: str, side: str) -> DataFrame:
+    """key, k: one hash for each artist's word, length bucket (b) and word of the title."""
+    words_ = df.select(key, "b", F.explode(f"{side}.tokens").alias("t"), F.col(f"{side}.words").alias("ws"))
+    return words_.select(key, "b", "t", F.explode("ws").alias("w")).select(key, F.xxhash64("t", "b", "w").alias("k"))
 
-def vote_columns(pairs: DataFrame) -> DataFrame:
+
+def vote_columns(pairs: DataFrame, title: Column) -> DataFrame:
     """The pairs with a vote of each function: 0 says nothing, else 1 (against) and up."""
-    exact = F.array_contains("u.title_keys", F.col("r.title_key"))
-    slips = F.exists("u.title_keys", lambda k: F.levenshtein(k, F.col("r.title_key"), 3).between(0, F.length(k) / 4))
-    title = F.when(exact, 3).when(slips, 2).otherwise(1)
     artist = (
         F.when((F.size("u.tokens") == 0) | (F.size("r.tokens") == 0), 0)
         .when(F.arrays_overlap("u.names", "r.names"), 3)
@@ -177,10 +185,20 @@ def vote_columns(pairs: DataFrame) -> DataFrame:
     length = F.when(gap.isNull(), 0).when(gap <= 1100, 5).when(gap <= 3100, 4).when(gap <= 8100, 3).when(gap <= 20000, 2).otherwise(1)
     a, b = F.col("u.version"), F.col("r.version")
     version = F.when((a == "") & (b == ""), 3).when(a == b, 4).when(a == "", 2).otherwise(1)
-    track = F.when(F.coalesce(F.trim("track"), F.lit("")) == "", 0).when(F.regexp_replace(F.lower("track"), r"[^\p{L}\p{N}]", "") == F.col("r.title_key"), 2).otherwise(1)
-    channel = F.when(~F.coalesce(F.col("channel").endswith(" - Topic"), F.lit(False)), 0).when(F.exists("r.tokens", lambda t: F.contains(F.lower("channel"), t)), 2).otherwise(1)
+    track = F.when(F.col("u.track").isNull(), 0).when(F.col("u.track") == F.col("r.title"), 2).otherwise(1)
+    channel = F.when(F.col("u.topic").isNull(), 0).when(F.array_contains("r.tokens", F.col("u.topic")), 2).otherwise(1)
     votes = {"title": title, "artist": artist, "length": length, "version": version, "track": track, "channel": channel}
-    return pairs.select("source_key", "id", gap.alias("gap"), *[v.cast("int").alias(f"v_{n}") for n, v in votes.items()])
+    return pairs.select("uid", "rid", gap.alias("gap"), *[v.cast("int").alias(f"v_{n}") for n, v in votes.items()])
+
+
+def judged(u: DataFrame, r: DataFrame) -> DataFrame:
+    """uid, rid, gap and the votes of all candidate pairs. Texts of titles travel with the weak pairs alone."""
+    strong, weak = candidates(u, r)
+    part = lambda df, key, side, *more: df.select(key, "duration_s" if side == "u" else "length_ms", F.struct(*[F.col(f"{side}.{c}") for c in ("names", "tokens", "version", *more)]).alias(side))
+    both = lambda pairs: pairs.join(part(r, "rid", "r", "title"), "rid").join(part(u, "uid", "u", "track", "topic"), "uid")
+    near = weak.join(r.select("rid", F.col("r.title_key").alias("t")), "rid").join(u.select("uid", F.col("u.title_keys").alias("ts")), "uid")
+    near = near.select("uid", "rid", F.array_contains("ts", F.col("t")).alias("e"), F.exists("ts", lambda k: F.levenshtein(k, F.col("t"), 3).between(0, F.length(k) / 4)).alias("s")).filter("e OR s")
+    return vote_columns(both(strong), F.lit(3)).unionByName(vote_columns(both(near), F.when(F.col("e"), 3).otherwise(2)))
 
 
 def label_model(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[tuple[int, ...], float], list[dict]]:
@@ -241,20 +259,20 @@ def link(videos: DataFrame, records: DataFrame) -> DataFrame:
     other columns make their vote say nothing. Empty tables give no rows.
     """
     u, r = cut(uploads(videos)), cut(recordings(records))
-    pairs = candidates(u, r).join(r, "id").join(u, "source_key")
-    voted = cut(vote_columns(pairs).filter("v_title > 1"))
+    voted = cut(judged(u, r))
     names = [f"v_{v}" for v in VOTES]
     counted = [(tuple(row[c] for c in names), row["n"]) for row in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
     if not counted:
-        return voted.select("source_key", F.col("id").alias("record_id"), F.lit(0.0).alias("confidence"))
+        return u.join(r, F.lit(False)).select("source_key", F.col("id").alias("record_id"), F.lit(0.0).alias("confidence"))
     posterior, _ = label_model(sorted(counted))
     spark = videos.sparkSession
     table = spark.createDataFrame([(*p, q) for p, q in posterior.items()], ", ".join(f"{c} int" for c in names) + ", confidence double")
     scored = voted.join(F.broadcast(table), names).filter(F.col("confidence") >= ACCEPT)
     # A length that is far off is another take; one that is off, under another name, another song.
     scored = scored.filter("v_length != 1 AND NOT (v_artist = 1 AND v_length = 2)")
-    best = scored.groupBy("source_key").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("gap", F.lit(1e12)).alias("g"), F.col("id"))).alias("first"))
-    return best.select("source_key", F.col("first.id").alias("record_id"), F.round(-F.col("first.c"), 6).alias("confidence"))
+    kept = scored.join(r.select("rid", "id"), "rid")
+    best = kept.groupBy("uid").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("gap", F.lit(1e12)).alias("g"), F.col("id"))).alias("first"))
+    return best.join(u.select("uid", "source_key"), "uid").select("source_key", F.col("first.id").alias("record_id"), F.round(-F.col("first.c"), 6).alias("confidence"))
 
 
 def found(videos: DataFrame, records: DataFrame) -> DataFrame:
