@@ -36,11 +36,12 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def _features(words: list[str], known: set[str] | None) -> list[str]:
+def _features(words: list[str], known: set[str] | None) -> set[str]:
+    """Words and runs of two and three, each once: a long text weighs no more than its words."""
     if known is not None:
         words = [w if w in known else "<new>" for w in words]
     ends = ["^", *words, "$"]
-    return [*words, *(f"{a} {b}" for a, b in zip(ends, ends[1:], strict=False)), *(f"{a} {b} {c}" for a, b, c in zip(ends, ends[1:], ends[2:], strict=False))]
+    return {*words, *(f"{a} {b}" for a, b in zip(ends, ends[1:], strict=False)), *(f"{a} {b} {c}" for a, b, c in zip(ends, ends[1:], ends[2:], strict=False))}
 
 
 def fit(trusted: list[str], others: list[str]) -> dict:
@@ -58,7 +59,7 @@ def fit(trusted: list[str], others: list[str]) -> dict:
     index: dict[str, int] = {}
     rows, cols = [], []
     for i, d in enumerate(docs):
-        for f in _features(d, known):
+        for f in sorted(_features(d, known)):
             rows.append(i)
             cols.append(index.setdefault(f, len(index)))
     r, c, n = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), len(docs)
@@ -88,7 +89,7 @@ def score(text: str, model: dict) -> float:
     if not words:
         return 0.0
     get = model["weights"].get
-    z = model["bias"] + sum(get(f, 0.0) for f in _features(words, model["known"]))
+    z = model["bias"] + sum(get(f, 0.0) for f in sorted(_features(words, model["known"])))
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
