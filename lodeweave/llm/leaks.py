@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..operators.joins import once
 
 #: Positions (1: compared, 0: ignored) of the seeds. Any run of 18 words or more of which at most one in twelve is
 #: replaced holds a hit of one of them (the tests go through all cases).
@@ -32,8 +33,9 @@ def seeds(tokens: Column, mask: str, k: int) -> Column:
 
 
 def _long(df: DataFrame, key: str, text: str) -> DataFrame:
-    tokens = df.select(F.col(key), leak_words(F.col(text)).alias("tokens")).filter(F.size("tokens") >= LEAST)
-    return tokens.select(key, "tokens", F.explode(F.concat(*[seeds(F.col("tokens"), m, k) for k, m in enumerate(MASKS)])).alias("s"))
+    # once(): a seed looks at many words, which are made once a text and not once a seed.
+    hashed = once(leak_words(F.col(text)), lambda w: F.when(F.size(w) >= LEAST, F.concat(*[seeds(w, m, k) for k, m in enumerate(MASKS)])))
+    return df.select(F.col(key), F.explode(hashed).alias("s"))
 
 
 def _overlaps(doc: pd.Series, item: pd.Series, shift: pd.Series) -> pd.Series:
