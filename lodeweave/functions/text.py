@@ -165,7 +165,7 @@ def version_kinds(c: Column) -> Column:
 
 def credit_parts(c: Column) -> Column:
     """Names of one credit."""
-    return F.filter(F.transform(F.split(c, _JOINER), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, _JOINER), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def credit_keys(c: Column) -> Column:
@@ -190,7 +190,7 @@ def album_without_disc(c: Column) -> Column:
 
 def title_parts(c: Column) -> Column:
     """Core of a title and its bracketed decorations."""
-    return F.struct(F.trim(F.regexp_replace(c, r"\s*[(\[][^)\]]*[)\]]", "")).alias("core"), F.transform(F.regexp_extract_all(c, F.lit(r"[(\[]([^)\]]*)[)\]]"), 1), F.trim).alias("decorations"))
+    return F.struct(F.trim(F.regexp_replace(c, r"\s*[(\[][^)\]]*[)\]]", "")).alias("core"), F.transform(F.regexp_extract_all(c, F.lit(r"[(\[]([^)\]]*)[)\]]"), 1), lambda x: F.trim(x)).alias("decorations"))
 
 
 def decoration_count(c: Column) -> Column:

@@ -56,7 +56,7 @@ ARTIST_RULES: list[Rule] = [
     TITLE_RULES[0],
     ("structure.channel_alias", lambda c, ctx: F.coalesce(ctx.get("alias", F.lit(None).cast("string")), c)),
     ("packaging.channel_suffix", lambda c, _: F.regexp_replace(c, r"(?i)(?:\s+-\s+topic|vevo|\s+official)\s*$", "")),
-    ("structure.joined_artists", lambda c, _: F.array_join(F.filter(F.transform(F.split(c, r"\s*[;|\t]\s*|\s+/\s+"), F.trim), lambda x: x != ""), "; ")),
+    ("structure.joined_artists", lambda c, _: F.array_join(F.filter(F.transform(F.split(c, r"\s*[;|\t]\s*|\s+/\s+"), lambda x: F.trim(x)), lambda x: x != ""), "; ")),
     ("structure.album_as_artist", _album_as_artist),
     TITLE_RULES[-1],
 ]

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import labels
 from ..functions import measures as M
 from ..functions import text as T
-from ..operators import catalog, cleaning, components, incremental, joins, kernels, sequences, votes
+from ..operators import albums, catalog, cleaning, components, incremental, joins, kernels, sequences, votes
 from ..session import table as t
 from ..sources import files
-from . import terms
+from . import templates, terms
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -692,7 +693,7 @@ def shared_source_groups(s, d):
     return components.components(x.join(src, "k").select(F.col("song_no").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("song_no"), "label")
 
 
-@query("SELECT count(*) n, sum(n_chars) chars, CAST(sum(ceil(n_chars / 4096) * 4096) AS BIGINT) in_blocks FROM documents")
+@query("SELECT count(*) n, CAST(sum(n_chars) AS BIGINT) chars, CAST(sum(ceil(n_chars / 4096) * 4096) AS BIGINT) in_blocks FROM documents")
 def size_total(s, d):
     return t(s, d, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum(M.blocks(F.col("n_chars"), 4096)).alias("in_blocks"))
 
@@ -875,3 +876,78 @@ def allocate_budget(s, d):
 def redacted_texts(s, d):
     v = t(s, d, "video_infos").select("info_no", F.concat(F.lit("get https://user:pw@"), F.regexp_replace("webpage_url", "^https://", ""), F.lit(" token="), F.col("id")).alias("x"))
     return v.select("info_no", T.redacted(F.col("x")).alias("text"))
+
+
+# --- albums, covers, lookups
+
+
+@query("SELECT info_no FROM video_infos WHERE lower(trim(artist)) IN ('unknown', 'unknown artist', 'unknown album', 'unknown title', 'untitled', 'no artist', 'no album', 'no title', 'no label', '[no label]', '[unknown]', 'n/a', 'none', 'various', 'track 1', 'new folder')")
+def placeholder_values(s, d):
+    return t(s, d, "video_infos").filter(labels.placeholder(F.col("artist"))).select("info_no")
+
+
+@query("WITH n AS (SELECT id, credit, count(*) records FROM records WHERE regexp_matches(credit, '^[ -~]*$') GROUP BY ALL), m AS (SELECT id, max(records) records FROM n GROUP BY id) SELECT id, credit, records FROM n JOIN m USING (id, records)")
+def artist_spelling(s, d):
+    return albums.artist_spelling(t(s, d, "records").filter(F.col("credit").rlike(r"^[ -~]*\z")), "id", "credit")
+
+
+@query("WITH n AS (SELECT album, count(DISTINCT song_no) n FROM songs WHERE album IS NOT NULL GROUP BY album), x AS (SELECT album, unnest(sources) k, song_no FROM songs WHERE album IS NOT NULL), r AS (SELECT album, regexp_extract(k, '^([^:]*):', 1) site, count(DISTINCT song_no) songs FROM x GROUP BY ALL) SELECT album, site, songs FROM r JOIN n USING (album) WHERE songs >= 0.6 * n")
+def settled_site(s, d):
+    """The site most of an album's songs have a source on: the rule of settled releases."""
+    x = t(s, d, "songs").filter("album IS NOT NULL").select("album", "song_no", F.explode_outer("sources").alias("k")).withColumn("site", F.regexp_extract("k", "^([^:]*):", 1))
+    return albums.settled_release(x, "album", "song_no", "site")
+
+
+@query()
+def unit_releases(s, d):
+    songs = t(s, d, "songs").filter("album IS NOT NULL").select(F.col("album").alias("unit"), "song_no", F.explode("sources").alias("source_key"))
+    v = t(s, d, "video_infos").select("source_key", "album").filter("album IS NOT NULL").dropDuplicates()
+    return albums.unit_releases(songs.join(v, "source_key").withColumnRenamed("album", "release"), "unit", "song_no", "release", [])
+
+
+@query("SELECT source_key, count(DISTINCT song_no) songs, min(song_no) first_song FROM claims WHERE source_key IS NOT NULL GROUP BY source_key HAVING count(DISTINCT song_no) > 0")
+def owners(s, d):
+    return t(s, d, "claims").filter("source_key IS NOT NULL").groupBy("source_key").agg(F.count_distinct("song_no").alias("songs"), F.min("song_no").alias("first_song")).filter("songs > 0")
+
+
+@query("SELECT v.source_key, CAST(floor(median((v.duration_s * 1000 - c.length_ms) / c.length_ms * 1000000)) AS BIGINT) ppm FROM video_infos v JOIN claims c ON v.source_key = c.source_key WHERE c.length_ms > 0 AND v.duration_s IS NOT NULL GROUP BY v.source_key")
+def median_speed(s, d):
+    c = t(s, d, "claims").filter("length_ms > 0").select("source_key", "length_ms")
+    m = t(s, d, "video_infos").filter("duration_s IS NOT NULL").join(c, "source_key").withColumn("ppm", (F.col("duration_s") * 1000 - F.col("length_ms")) / F.col("length_ms") * 1000000)
+    return albums.median_speed(m, "source_key", "ppm")
+
+
+@query("SELECT record_no FROM records WHERE contains(concat(' ', regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' river ') AND regexp_matches(title, '^[ -~]*$')")
+def whole_word(s, d):
+    return t(s, d, "records").filter(F.col("title").rlike(r"^[ -~]*\z") & labels.whole_word(F.col("title"), "River")).select("record_no")
+
+
+@query()
+def path_stems(s, d):
+    return _views(s, d).select("song_no", templates.path_stem("{albumartist|artist}/{album}/{title}").alias("path"))
+
+
+@query()
+def lookup_verdicts(s, d):
+    v = _views(s, d)
+    verdict = templates.lookup_verdict([["genre:=jazz"]], [["lyrics:timed"], ["cover:yes"]], SCHEMES, F.lit(False), F.col("song_no") % 2 == 0, F.col("song_no") % 3 == 0)
+    return v.select("song_no", verdict.alias("verdict"))
+
+
+@query("SELECT s.song_no, 'removed' state FROM songs s WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.song_no = s.song_no) UNION ALL SELECT DISTINCT song_no, 'listed' FROM claims WHERE song_no IN (SELECT song_no FROM songs)")
+def tombstones(s, d):
+    songs, claims = t(s, d, "songs").select("song_no"), t(s, d, "claims").select("song_no")
+    return songs.join(claims, "song_no", "left_anti").withColumn("state", F.lit("removed")).unionByName(songs.join(claims, "song_no", "left_semi").withColumn("state", F.lit("listed")))
+
+
+@query("SELECT c.claim_no FROM claims c JOIN (SELECT source_key, count(*) n, max(seen_at) l FROM video_infos GROUP BY 1) f ON c.source_key = f.source_key WHERE epoch(f.l) + least(3600 * pow(2, least(f.n - 1, 16)), 604800) <= epoch(TIMESTAMP '2024-06-01') AND NOT c.vetted")
+def due_sources(s, d):
+    f = t(s, d, "video_infos").groupBy("source_key").agg(F.count("*").alias("count"), F.max(F.unix_micros(F.col("seen_at").cast("timestamp")) / 1e6).alias("last"))
+    late = incremental.due(f, F.lit(1717200000))
+    return t(s, d, "claims").filter("NOT vetted").join(late, "source_key", "left_semi").select("claim_no")
+
+
+@query("SELECT lower(name) AS name, CAST(sum(votes) AS BIGINT) votes FROM genres WHERE NOT regexp_matches(name, '[;|,/&>\"''+]|\\\\|\\t|\\n| and ') AND votes IS NOT NULL GROUP BY 1")
+def genre_votes(s, d):
+    g = t(s, d, "genres").filter(~F.col("name").rlike(r"""[;|,/&>"'+]|\\|\t|\n| and """) & F.col("votes").isNotNull())
+    return g.groupBy(F.lower("name").alias("name")).agg(F.sum("votes").alias("votes"))
