@@ -46,6 +46,6 @@ def rounds(state: DataFrame, ask, most: int = 3) -> DataFrame:
 
 
 def overridden(df: DataFrame, overrides: DataFrame, group: str, fields: list[str]) -> DataFrame:
-    """Fields dropped for the groups an override names (group, drops array<string>); overrides are settings, a few rows."""
-    met = df.join(F.broadcast(overrides.limit(10_000)), group, "left")
+    """Fields dropped for the groups an override names (group, drops array<string>)."""
+    met = df.join(overrides, group, "left")
     return met.withColumns({f: F.when(F.array_contains(F.coalesce("drops", F.array().cast("array<string>")), f), None).otherwise(F.col(f)) for f in fields}).drop("drops")

@@ -48,7 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
+    # A compressed table looks far smaller than it is in memory, so its size is no ground for a broadcast.
+    out = spark.read.schema(df.schema).parquet(path).hint("merge")
     out._cut = path
     return out
 
