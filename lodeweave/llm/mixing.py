@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: Blocks of tokens the whole mix is apportioned in.
 BLOCKS = 10_000
-SHARDS = 64
+#: Documents of a shard, about.
+SHARD_ROWS = 200_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -75,10 +78,10 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = VOC
     counted = documents.select("doc_id", "source", token_counter(path)("text").alias("n_tokens")).filter("n_tokens > 0")
     goals = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"] is not None]
     counted = counted.filter(F.col("source").isin([s for s, _, _ in goals]))
-    from ..session import cut
-
-    counted = cut(counted.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("_order", F.lit(SHARDS)).cast("int")))
-    by_shard = counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()  # at most SHARDS rows a source
+    counted = cut(counted.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")))
+    shards = counted.count() // SHARD_ROWS + 1
+    counted = counted.withColumn("shard", F.pmod("_order", F.lit(shards)).cast("int"))
+    by_shard = counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()  # a row for each shard of a source
     sizes: dict[str, int] = {}
     for r in by_shard:
         sizes[r["source"]] = sizes.get(r["source"], 0) + r["t"]
@@ -93,7 +96,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = VOC
     spark = documents.sparkSession
     q = spark.createDataFrame(quota, "source string, shard int, rounds int, rest bigint")
     w = Window.partitionBy("source", "shard").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.join(F.broadcast(q), ["source", "shard"]).withColumn("_sum", F.sum("n_tokens").over(w))
+    run = counted.join(q, ["source", "shard"]).withColumn("_sum", F.sum("n_tokens").over(w))
     extra = (F.col("_sum") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")  # the last block's document by its middle
     chosen = run.withColumn("copies", F.col("rounds") + extra).filter("copies > 0")
     return chosen.select("doc_id", "source", "shard", "n_tokens", "copies")
@@ -102,6 +105,5 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = VOC
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Each listed source with its target and actual share of the mix."""
     n = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_repeats"), F.count("*").alias("documents"))
-    total = n.agg(F.sum("tokens").alias("_all"))
-    out = targets.select("source", "target_share", "max_repeats").join(F.broadcast(n), "source", "left").crossJoin(F.broadcast(total))  # seven rows by one
+    out = targets.select("source", "target_share", "max_repeats").join(n, "source", "left").withColumn("_all", F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # a row a source
     return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens"), F.lit(0)) / F.col("_all"), 6).alias("actual_share"))
