@@ -28,5 +28,20 @@ def queries() -> dict:
     }
 
 
+_N = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".replace("\\\\", "\\")
+_GROUPS = f"""
+WITH v AS (SELECT info_no, {_N.format('title')} a, {_N.format('artist')} b, {_N.format('album')} c, {_N.format('channel')} d, upload_date e, duration_s f FROM video_infos),
+x AS (SELECT 'video_infos' tab, info_no row_no, min(info_no) OVER w first_no, count(*) OVER w copies FROM v WHERE c <> '' WINDOW w AS (PARTITION BY a, b, c, d, e, f)),
+g AS (SELECT agreed_no, song_no, field, list_sort(list_transform(vals, lambda z: {_N.format('z')})) k FROM agreed WHERE len(vals) > 0),
+y AS (SELECT 'agreed' tab, agreed_no row_no, min(agreed_no) OVER w first_no, count(*) OVER w copies FROM g WINDOW w AS (PARTITION BY song_no, field, k)),
+z AS (SELECT * FROM x UNION ALL SELECT * FROM y)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the copies can be told in SQL; the other problems need what it can't say."""
+    return {
+        "p6_found": _GROUPS + "SELECT tab, first_no, row_no FROM z WHERE row_no > first_no",
+        "p6_collapsed": _GROUPS + """, r AS (SELECT 'video_infos' tab, info_no row_no FROM video_infos UNION ALL SELECT 'agreed', agreed_no FROM agreed)
+SELECT tab, row_no, coalesce(copies, 1) copies FROM r LEFT JOIN z USING (tab, row_no) WHERE first_no IS NULL OR first_no = row_no""",
+    }
