@@ -48,8 +48,10 @@ def fit(trusted: list[str], others: list[str]) -> dict:
     """Weights of words and word runs: log-odds of residue against the rest.
 
     The rest is unlabelled: each round, texts of it count for residue as far as the last round believed them to be.
-    A word seen in one text alone is taken as new.
+    A word seen in one text alone is taken as new. With no trusted text nothing counts for residue.
     """
+    if not trusted:
+        return {"known": set(), "weights": {}, "bias": -40.0}
     docs = [tokens(x) for x in [*trusted, *others]]
     seen: dict[str, int] = {}
     for d in docs:
@@ -69,7 +71,7 @@ def fit(trusted: list[str], others: list[str]) -> dict:
     for _ in range(ROUNDS):
         pos = np.bincount(c, weights=p[r], minlength=len(index))
         neg = np.bincount(c, weights=1 - p[r], minlength=len(index))
-        share = pos.sum() / (pos.sum() + neg.sum())  # smoothed towards the classes' own shares, so a rare word tells little
+        share = float(np.clip(pos.sum() / max(pos.sum() + neg.sum(), 1e-9), 1e-6, 1 - 1e-6))  # smoothed towards the classes' own shares, so a rare word tells little
         weights = np.log((pos + share) / (neg + 1 - share)) - np.log(share / (1 - share))
         bias = np.log((p.sum() + 1) / ((1 - p).sum() + 1))
         z = np.clip(bias + np.bincount(r, weights=weights[c], minlength=n), -40, 40)

@@ -294,3 +294,9 @@ def test_personal_information(spark):
     red = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.redact(d, f).collect()}
     assert red[1][0].startswith("[PERSON] here, I still have it. Cheers to Ann Famous! Mail [EMAIL]. Write") and red[2] == (None, 0) and red[5] == ("nothing at home", 0)
     assert pii.find(d.limit(0), al).count() == 0 and pii.find(d, al.limit(0)).filter("kind = 'person'").count() == 0
+
+
+def test_fit_without_one_side():
+    assert residue.score("lorem ipsum", residue.fit([], ["Vera Karsur"])) < 0.01
+    assert residue.score("lorem ipsum dolor", residue.fit(["lorem ipsum a", "lorem ipsum b"], [])) > 0.5
+    assert residue.score("x", residue.fit([], [])) < 0.01
