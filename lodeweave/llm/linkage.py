@@ -24,8 +24,10 @@ NAMES = re.compile(r"[;|\t\n\\、·/]+|\s+&\s+|,\s+|\s+and\s+|\s+\+\s+|\s+x\s+|\
 #: Names (words in order) that stand for nobody.
 NOBODY = {"artistunknown", "artistsvarious", "artistvarious"}
 BUCKET_S = 6
-UPLOAD = "title_keys array<string>, names array<bigint>, tokens array<bigint>, words array<string>, version string, track bigint, topic bigint, keys array<bigint>"
-RECORD = "title_key string, title bigint, names array<bigint>, tokens array<bigint>, words array<string>, version string, keys array<bigint>"
+#: Letters by which titles of one recording may differ at most.
+SLIPS = 3
+UPLOAD = "title_keys array<string>, names array<bigint>, tokens array<bigint>, version string, track bigint, topic bigint"
+RECORD = "title_key string, title bigint, names array<bigint>, tokens array<bigint>, version string"
 #: Votes with the number of their outcomes; 0 is always "says nothing".
 VOTES = {"title": 4, "artist": 4, "length": 6, "version": 5, "track": 3, "channel": 3}
 ROUNDS, PRIOR, BELIEF, GROWTH = 100, 0.5, 0.05, 3.0
@@ -64,7 +66,7 @@ def version_of(text: str | None) -> str:
     return " ".join(words(m[1])) if m else ""
 
 
-def upload_features(title, artist, creator, channel, track, duration) -> dict:
+def upload_features(title, artist, creator, channel, track) -> dict:
     text = DECORATION.sub(" ", title or "")
     version = version_of(text)
     text = VERSION.sub(" ", text)
@@ -79,16 +81,12 @@ def upload_features(title, artist, creator, channel, track, duration) -> dict:
     if channel and channel.endswith(" - Topic"):
         known.append(channel[:-8])
         topic = name_forms(channel[:-8])[1]
-    titles, names, tokens, keys, buckets = {}, set(), set(), set(), []
+    titles, names, tokens = {}, set(), set()
     for n in [*known, *(x for g in guests for x in NAMES.split(g))]:
         full, token = name_forms(n)
         if token and full not in NOBODY:
             names.add(full)
             tokens.add(token)
-    if duration is not None and duration == duration:
-        b = int(duration // BUCKET_S)
-        buckets = [b - 1, b, b + 1]
-    title_words = set()
     for who, run in runs.items():
         if not run:
             continue
@@ -100,25 +98,19 @@ def upload_features(title, artist, creator, channel, track, duration) -> dict:
         if own:
             names.add(full)
         titles[k] = own
-        keys |= {_hash("a", k, t) for t in tokens | own}
-        keys |= {_hash("d", k, b) for b in buckets}
-        title_words |= set(words(" ".join(run)))
     track_key = letters(VERSION.sub(" ", track)) if track else ""
     if (k := track_key) and k not in titles:
         titles[k] = set()
-        keys |= {_hash("a", k, t) for t in tokens} | {_hash("d", k, b) for b in buckets}
     every = tokens | {t for own in titles.values() for t in own}
     hashed = lambda xs: sorted(_hash(x) for x in xs)
-    return {"title_keys": list(titles), "names": hashed(names), "tokens": hashed(every), "track": _hash(track_key) if track_key else None, "topic": _hash(topic) if topic else None, "words": sorted(w for w in title_words if len(w) > 2), "version": version, "keys": sorted(keys)}
+    return {"title_keys": list(titles), "names": hashed(names), "tokens": hashed(every), "track": _hash(track_key) if track_key else None, "topic": _hash(topic) if topic else None, "version": version}
 
 
-def record_features(title, artists, version, length_ms) -> dict:
+def record_features(title, artists, version) -> dict:
     k = letters(title)
     forms = [name_forms(a) for a in (artists if artists is not None else [])]
     tokens = {t for _, t in forms if t}
-    bucket = [] if length_ms is None or length_ms != length_ms else [int(length_ms // (1000 * BUCKET_S))]
-    keys = {_hash("a", k, t) for t in tokens} | {_hash("d", k, b) for b in bucket} if k else set()
-    return {"title_key": k, "title": _hash(k), "names": sorted({_hash(f) for f, t in forms if t}), "tokens": sorted(map(_hash, tokens)), "words": sorted({w for w in words(title or "") if len(w) > 2}), "version": " ".join(words(version or "")), "keys": sorted(keys)}
+    return {"title_key": k, "title": _hash(k), "names": sorted({_hash(f) for f, t in forms if t}), "tokens": sorted(map(_hash, tokens)), "version": " ".join(words(version or ""))}
 
 
 def _rows(f, columns: list[str]):
@@ -134,8 +126,8 @@ def uploads(videos: DataFrame) -> DataFrame:
     rank = lambda c: F.max(F.when(F.trim(c.cast("string")) != "", F.struct("trust", "seen_at", "info_no", c.alias("v"))))["v"]
     fields = ["title", "artist", "creator", "channel", "track", "duration_s"]
     one = videos.filter(F.col("source_key").isNotNull()).groupBy("source_key").agg(*[rank(F.col(c)).alias(c) for c in fields])
-    f = F.pandas_udf(_rows(upload_features, fields), UPLOAD)
-    return one.select(F.xxhash64("source_key").alias("uid"), "source_key", "duration_s", f(F.struct(*fields)).alias("u"))
+    f = F.pandas_udf(_rows(upload_features, fields[:5]), UPLOAD)
+    return one.select(F.xxhash64("source_key").alias("uid"), "source_key", "duration_s", f(F.struct(*fields[:5])).alias("u"))
 
 
 def recordings(records: DataFrame) -> DataFrame:
@@ -146,31 +138,54 @@ def recordings(records: DataFrame) -> DataFrame:
         F.max(F.when(F.trim("disambiguation") != "", F.col("disambiguation"))).alias("version"),
         F.max("length_ms").alias("length_ms"),
     )
-    fields = ["title", "artists", "version", "length_ms"]
+    fields = ["title", "artists", "version"]
     f = F.pandas_udf(_rows(record_features, fields), RECORD)
     return per.filter(F.col("title").isNotNull()).select(F.xxhash64("id").alias("rid"), "id", "length_ms", f(F.struct(*fields)).alias("r"))
 
 
-def candidates(u: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """uid, rid of pairs that share a title and an artist's word, or a title and about a length; and of weaker pairs.
+def candidates(u: DataFrame, r: DataFrame) -> DataFrame:
+    """uid, rid, title: pairs that share a title and an artist's word, or a title and about a length (title 3), and pairs
+    that share an artist's word and whose titles are some slips apart (2, or 1 where their numbers differ).
 
-    Uploads that meet no recording so (a slip in the title) are held to those with an artist's word, about a length and
-    one word of the title in common; of these, link() keeps titles within three slips. Every key is narrow, so no title,
-    artist or length alone makes a block. uid and rid are 64-bit hashes of the keys, so that pairs stay small; among a
-    billion uploads the chance that any two share one is one in forty.
+    Every key is narrow, so no title, artist or length alone makes a block. uid and rid are 64-bit hashes of the keys, so
+    that pairs stay small; among a billion uploads the chance that any two share one is one in forty.
     """
-    strong = cut(u.select("uid", F.explode("u.keys").alias("k")).join(r.select("rid", F.explode("r.keys").alias("k")), "k").select("uid", "rid").dropDuplicates())
-    left = u.join(strong.select("uid").dropDuplicates(), "uid", "left_anti").filter("duration_s IS NOT NULL")
-    bucket = F.floor(F.col("duration_s") / BUCKET_S)
-    mine = _weak_keys(left.withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1))), "uid", "u")
-    theirs = _weak_keys(r.filter("length_ms IS NOT NULL").withColumn("b", F.floor(F.col("length_ms") / (1000 * BUCKET_S))), "rid", "r")
-    return strong, mine.join(theirs, "k").select("uid", "rid").dropDuplicates()
+    b = F.floor(F.col("duration_s") / BUCKET_S)
+    mine = u.filter("duration_s IS NOT NULL AND NOT isnan(duration_s)").select("uid", F.explode(F.array(b - 1, b, b + 1)).alias("b"), F.col("u.title_keys").alias("ks")).select("uid", "b", F.explode("ks").alias("k")).select("uid", F.xxhash64("k", "b").alias("p"))
+    theirs = r.filter("length(r.title_key) > 0 AND length_ms IS NOT NULL").select("rid", F.xxhash64("r.title_key", F.floor(F.col("length_ms") / (1000 * BUCKET_S))).alias("p"))
+    timed = mine.join(theirs, "p").select("uid", "rid", F.lit(3).alias("title"))
+    return timed.unionByName(_of_artist(u, r)).groupBy("uid", "rid").agg(F.max("title").alias("title"))
 
 
-def _weak_keys(df: DataFrame, key: str, side: str) -> DataFrame:
-    """key, k: one hash for each artist's word, length bucket (b) and word of the title."""
-    words_ = df.select(key, "b", F.explode(f"{side}.tokens").alias("t"), F.col(f"{side}.words").alias("ws"))
-    return words_.select(key, "b", "t", F.explode("ws").alias("w")).select(key, F.xxhash64("t", "b", "w").alias("k"))
+def _of_artist(u: DataFrame, r: DataFrame) -> DataFrame:
+    """uid, rid, title of all pairs that share an artist's word and hold equal titles, or titles up to SLIPS and a quarter of the upload's letters apart.
+
+    Titles that differ by n slips have one of n + 1 pieces of either in common, moved by n letters at most; so pieces of
+    the upload's title meet the substrings of the recording's. Each title of an artist's word is taken once, however many
+    rows hold it.
+    """
+    theirs = r.filter("length(r.title_key) > 0").select("rid", F.col("r.title_key").alias("x"), F.explode("r.tokens").alias("t")).withColumn("g", F.xxhash64("t", "x"))
+    known = theirs.groupBy("t").agg(F.min(F.length("x")).alias("least"), F.max(F.length("x")).alias("most"))
+    mine = u.select("uid", F.explode("u.tokens").alias("t"), F.col("u.title_keys").alias("ks")).select("uid", "t", F.explode("ks").alias("k"))
+    mine = mine.join(known, "t").filter(F.length("k").between(F.col("least") - SLIPS, F.col("most") + SLIPS))
+    mine = cut(mine.select("uid", "t", "k", F.xxhash64("t", "k").alias("h")))
+    a = _pieces(mine.filter("length(k) >= 4").dropDuplicates(["h"]).withColumn("n", F.length("k"))).select("h", "k", F.expr("xxhash64(t, n, i, substring(k, f + 1, w))").alias("p"))
+    # For each length n of an upload's title, each piece at each place where it can be: i slips before it and m - i after it at most.
+    b = theirs.dropDuplicates(["g"]).select("*", F.explode(F.expr(f"sequence(-{SLIPS}, {SLIPS})")).alias("o")).withColumn("n", F.length("x") - F.col("o")).filter("n >= 4")
+    b = _pieces(b).filter("abs(o) <= m").selectExpr("*", "greatest(0, f - i, f + o - m + i) AS least", "least(length(x) - w, f + i, f + o + m - i) AS most").filter("least <= most")
+    b = b.withColumn("f", F.explode(F.sequence("least", "most"))).select("g", "x", F.expr("xxhash64(t, n, i, substring(x, f + 1, w))").alias("p"))
+    met = a.join(b, "p").filter((F.col("h") != F.col("g")) & F.levenshtein("k", "x", SLIPS).between(1, F.length("k") / 4))
+    number = lambda c: F.trim(F.regexp_replace(c, r"\D+", " "))
+    met = met.select("h", "g", F.when(number("k") == number("x"), 2).otherwise(1).alias("title")).dropDuplicates(["h", "g"])
+    pair = mine.select("uid", "h"), theirs.select("rid", "g")
+    same = pair[0].join(pair[1], F.col("h") == F.col("g")).select("uid", "rid", F.lit(3).alias("title"))
+    return same.unionByName(met.join(pair[0], "h").join(pair[1], "g").select("uid", "rid", "title"))
+
+
+def _pieces(titles: DataFrame) -> DataFrame:
+    """A title of n letters, up to m slips, in m + 1 pieces: piece i begins at f (0 the first) and is w letters wide."""
+    df = titles.withColumn("m", F.expr(f"CAST(least(n div 4, {SLIPS}) AS INT)")).withColumn("i", F.explode(F.expr("sequence(0, m)")))
+    return df.withColumn("f", F.expr("CAST(i * (n div (m + 1)) + greatest(0, i - (m + 1 - n % (m + 1))) AS INT)")).withColumn("w", F.expr("CAST(n div (m + 1) + if(i >= m + 1 - n % (m + 1), 1, 0) AS INT)"))
 
 
 def vote_columns(pairs: DataFrame, title: Column) -> DataFrame:
@@ -192,13 +207,10 @@ def vote_columns(pairs: DataFrame, title: Column) -> DataFrame:
 
 
 def judged(u: DataFrame, r: DataFrame) -> DataFrame:
-    """uid, rid, gap and the votes of all candidate pairs. Texts of titles travel with the weak pairs alone."""
-    strong, weak = candidates(u, r)
+    """uid, rid, gap and the votes of all candidate pairs."""
     part = lambda df, key, side, *more: df.select(key, "duration_s" if side == "u" else "length_ms", F.struct(*[F.col(f"{side}.{c}") for c in ("names", "tokens", "version", *more)]).alias(side))
-    both = lambda pairs: pairs.join(part(r, "rid", "r", "title"), "rid").join(part(u, "uid", "u", "track", "topic"), "uid")
-    near = weak.join(r.select("rid", F.col("r.title_key").alias("t")), "rid").join(u.select("uid", F.col("u.title_keys").alias("ts")), "uid")
-    near = near.select("uid", "rid", F.array_contains("ts", F.col("t")).alias("e"), F.exists("ts", lambda k: F.levenshtein(k, F.col("t"), 3).between(0, F.length(k) / 4)).alias("s")).filter("e OR s")
-    return vote_columns(both(strong), F.lit(3)).unionByName(vote_columns(both(near), F.when(F.col("e"), 3).otherwise(2)))
+    both = candidates(u, r).join(part(r, "rid", "r", "title"), "rid").join(part(u, "uid", "u", "track", "topic"), "uid")
+    return vote_columns(both, F.col("title"))
 
 
 def label_model(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[tuple[int, ...], float], list[dict]]:

@@ -123,6 +123,39 @@ def test_linkage(spark):
     assert linkage.found(videos(spark, []), records(spark, [])).count() == 0
 
 
+def test_slips_meet_whatever_else_the_upload_meets(spark):
+    who = "Ann Poeson"
+    rec = [{"record_no": 1, "id": "drum", "title": "Rising Drum", "artists": [who]}, {"record_no": 2, "id": "no", "title": "Garden No. 37", "artists": [who], "length_ms": 103_000}, {"record_no": 3, "id": "other", "title": "Risin Drum", "artists": ["Ida Wren"], "length_ms": 200_000}]
+    vid = [{"info_no": 1, "source_key": "null", "title": f"{who} - Risin Drum"}, {"info_no": 2, "source_key": "one", "title": f"{who} - Garen No. 37", "duration_s": 104.0}, {"info_no": 3, "source_key": "strong", "title": "Risin Drum", "artist": who, "duration_s": 200.0}]
+    u, r = linkage.uploads(videos(spark, vid)), linkage.recordings(records(spark, rec))
+    got = rows(linkage.candidates(u, r).join(u.select("uid", "source_key"), "uid").join(r.select("rid", "id"), "rid").select("source_key", "id", "title"))
+    assert got == {("null", "drum", 2), ("one", "no", 2), ("strong", "drum", 2), ("strong", "other", 3)}
+
+
+def test_slipped_titles_against_all_pairs(spark):
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = np.random.default_rng(3)
+    titles = sorted({"".join(r.choice(list("ab1"), r.integers(1, 19))) for _ in range(150)})
+    for x in titles[:80]:
+        y = list(x)
+        for _ in range(3):
+            i = int(r.integers(0, len(y) + 1))
+            y[i : i + int(r.integers(0, 2))] = list("ab"[: r.integers(0, 2)])
+        titles += ["".join(y)] if y else []
+    titles = sorted(set(titles))
+    vid = [{"info_no": i, "source_key": x, "title": x, "artist": "Ann Poeson"} for i, x in enumerate(titles)]
+    u, v = linkage.uploads(videos(spark, vid)), linkage.recordings(records(spark, [{"record_no": i, "id": x, "title": x, "artists": ["Ann Poeson"]} for i, x in enumerate(titles)]))
+    got = rows(linkage.candidates(u, v).join(u.select("uid", "source_key"), "uid").join(v.select("rid", "id"), "rid").select("source_key", "id"))
+    assert got == {(a, b) for a in titles for b in titles if a == b or far(a, b) <= min(3, len(a) // 4)}
+
+
 def test_label_model_learns_accuracies():
     r = np.random.default_rng(1)
     truth = r.random(4000) < 0.6
