@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import folded, letters_key, words
+from .text import UNSEEN, folded, letters_key, width_map, words
 
 # Spellings of tag names and the one they stand for.
 FIELD_NAMES = {
@@ -18,6 +18,7 @@ _SECTION = r"verse|chorus|bridge|intro|outro|refrain|hook|pre-?chorus|interlude|
 
 def whole_word(text: Column, entry: str) -> Column:
     """The entry's words stand in the text in a row as whole words."""
+    text = F.translate(F.regexp_replace(text, UNSEEN, ""), *width_map())
     return F.contains(F.concat(F.lit(" "), F.array_join(words(folded(text)), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(words(folded(F.lit(entry))), " "), F.lit(" ")))
 
 

@@ -194,7 +194,7 @@ def title_parts(c: Column) -> Column:
 
 
 def decoration_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[(\[][^)\]]*[)\]]")) + F.regexp_count(c, F.lit(r"\s[|–—-]\s"))
+    return F.regexp_count(c, F.lit(r"[(\[][^)\]]*[)\]]")) + F.regexp_count(c, F.lit(r"(?U)\s[|–—-]\s"))
 
 
 def packaging(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import labels
 from ..functions import measures as M
 from ..functions import text as T
-from ..operators import albums, catalog, cleaning, components, incremental, joins, kernels, sequences, votes
+from ..operators import albums, catalog, cleaning, components, incremental, joins, kernels, packed, sequences, votes
 from ..session import table as t
 from ..sources import files
 from . import templates, terms
@@ -706,6 +706,12 @@ def fold_text(s, d):
     return t(s, d, "video_infos").filter(F.col("artist").rlike(r"^[\x00-\x7Fà-öø-ÿÀ-ÖØ-Þ]*\z")).select("info_no", T.folded(F.col("artist")).alias("fold"))
 
 
+@query()
+def fold_text_all(s, d):
+    """Every artist, whatever its script."""
+    return t(s, d, "video_infos").filter("artist IS NOT NULL").select("info_no", T.folded(F.col("artist")).alias("fold"))
+
+
 @query("SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM documents")
 def alnum_key(s, d):
     return t(s, d, "documents").select("doc_id", T.alnum(F.col("text")).alias("k"))
@@ -752,6 +758,13 @@ def edit_distance(s, d):
     return r.select("record_no", F.levenshtein("x", "y").cast("bigint").alias("edits"), T.edit_share(F.col("x"), F.col("y")).alias("share"))
 
 
+@query()
+def edit_distance_all(s, d):
+    """Whole titles, empty ones too, by code points; SQL counts bytes."""
+    r = t(s, d, "records").select("record_no", F.col("title").alias("x"), F.col("on_release.title").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    return r.select("record_no", F.levenshtein("x", "y").cast("bigint").alias("edits"), T.edit_share(F.col("x"), F.col("y")).alias("share"))
+
+
 @query()
 def name_distances(s, d):
     r = t(s, d, "records").select("record_no", F.col("credit").alias("a"), F.col("on_release.credit").alias("b"))
@@ -765,6 +778,12 @@ def credit_split(s, d):
     return r.select("record_no", "credit", F.size("artists").alias("n"), F.array_join(T.credit_parts(F.col("credit")), "|").alias("parts"))
 
 
+@query()
+def credit_split_all(s, d):
+    """Every credit, those with feat., with, x, vs. and + too."""
+    return t(s, d, "records").filter("credit IS NOT NULL").select("record_no", "credit", F.size("artists").alias("n"), F.array_join(T.credit_parts(F.col("credit")), "|").alias("parts"))
+
+
 @query("SELECT song_no, array_to_string(list_sort(list_concat(list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x)))), '|') AS either, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS within, NOT list_has_any(a, b) AS disjoint FROM (SELECT s.song_no, s.sources a, c.ks b FROM songs s JOIN (SELECT song_no, list(DISTINCT source_key) ks FROM claims GROUP BY song_no) c ON s.song_no = c.song_no)")
 def source_sets(s, d):
     c = t(s, d, "claims").groupBy("song_no").agg(F.collect_set("source_key").alias("b"))
@@ -822,6 +841,12 @@ def decoration_count(s, d):
     return v.select("info_no", T.decoration_count(F.col("title")).cast("bigint").alias("decorations"))
 
 
+@query()
+def decoration_count_all(s, d):
+    """Every title, with spaces and dashes of any kind."""
+    return t(s, d, "video_infos").filter("title IS NOT NULL").select("info_no", T.decoration_count(F.col("title")).cast("bigint").alias("decorations"))
+
+
 @query()
 def title_scripts(s, d):
     r = t(s, d, "records")
@@ -891,6 +916,12 @@ def artist_spelling(s, d):
     return albums.artist_spelling(t(s, d, "records").filter(F.col("credit").rlike(r"^[ -~]*\z")), "id", "credit")
 
 
+@query()
+def artist_spelling_all(s, d):
+    """Every spelling of a credit has its vote, whatever its script."""
+    return albums.artist_spelling(t(s, d, "records").filter("id IS NOT NULL AND credit IS NOT NULL"), "id", "credit")
+
+
 @query("WITH n AS (SELECT album, count(DISTINCT song_no) n FROM songs WHERE album IS NOT NULL GROUP BY album), x AS (SELECT album, unnest(sources) k, song_no FROM songs WHERE album IS NOT NULL), r AS (SELECT album, regexp_extract(k, '^([^:]*):', 1) site, count(DISTINCT song_no) songs FROM x GROUP BY ALL) SELECT album, site, songs FROM r JOIN n USING (album) WHERE songs >= 0.6 * n")
 def settled_site(s, d):
     """The site most of an album's songs have a source on: the rule of settled releases."""
@@ -922,6 +953,12 @@ def whole_word(s, d):
     return t(s, d, "records").filter(F.col("title").rlike(r"^[ -~]*\z") & labels.whole_word(F.col("title"), "River")).select("record_no")
 
 
+@query()
+def whole_word_all(s, d):
+    """Every title, with accents, wide letters and unseen characters."""
+    return t(s, d, "records").filter(labels.whole_word(F.col("title"), "River")).select("record_no")
+
+
 @query()
 def path_stems(s, d):
     return _views(s, d).select("song_no", templates.path_stem("{albumartist|artist}/{album}/{title}").alias("path"))
@@ -951,3 +988,13 @@ def due_sources(s, d):
 def genre_votes(s, d):
     g = t(s, d, "genres").filter(~F.col("name").rlike(r"""[;|,/&>"'+]|\\|\t|\n| and """) & F.col("votes").isNotNull())
     return g.groupBy(F.lower("name").alias("name")).agg(F.sum("votes").alias("votes"))
+
+
+@query()
+def genre_votes_all(s, d):
+    """Every genre, a packed name's votes going to each of its values once; votes are null where none is known."""
+    g = t(s, d, "genres").filter("name IS NOT NULL")
+    split = packed.split_values(g.select(F.col("name").alias("text")).dropDuplicates(), packed.label_lexicon(g.select("name")))
+    each = F.coalesce(F.transform("items", lambda x: packed.key(x["item"])), F.array(packed.key(F.col("name"))))
+    names = g.join(split, F.col("name") == F.col("text"), "left").select("votes", F.explode(F.array_distinct(each)).alias("name")).filter("name != ''")
+    return names.groupBy("name").agg(F.sum("votes").alias("votes"))

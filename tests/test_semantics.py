@@ -281,3 +281,35 @@ def test_order_of_rows_does_not_matter(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/agreed.parquet").select("song_no", "field", F.explode("vals").alias("v"))
     a = {tuple(r) for r in votes.majority(df, ["song_no", "field"], "v").collect()}
     assert a == {tuple(r) for r in votes.majority(df.orderBy(F.rand(1)).repartition(7), ["song_no", "field"], "v").collect()}
+
+
+def test_whole_tables(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    titles = ["Song\u00a0–\u00a0Live (HD)", "Rı\u0301ver", "Moon R\u00edver", "Ri\u200bver Song", "Ｒｉｖｅｒ", "Rivers", "Река River", "Fünf", None, "", "A\u2003| B", "𝒜b"]
+    spark.createDataFrame([(i, x, x) for i, x in enumerate(titles)], "info_no int, title string, artist string").write.parquet(f"{tmp_path}/video_infos.parquet")
+    credits = ["Ann Poe feat. Ida Wren", "Ann Poe x Ida Wren", "Ann Poe + Ida Wren vs. Owl", "Ann Poe with Ida Wren", "Max", "Änn, Poe", "Änn, Poe", "Ann, Poe", None]
+    other = ["Moon River", "River", "Moon Rivér", "", "x"]
+    rec = [(i, str(i // 5), x, c, ["x"], (other[i % 5],)) for i, (x, c) in enumerate(zip(titles, credits))]
+    spark.createDataFrame(rec, "record_no int, id string, title string, credit string, artists array<string>, on_release struct<title: string>").write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame([(1, "Rock; Pop", 3), (2, "rock", 2), (3, "Drum & Bass", 4), (4, "Pop, ROCK, pop", 1), (5, "Fado", None), (6, None, 9), (7, "Pop", 0)], "genre_no int, name string, votes int").write.parquet(f"{tmp_path}/genres.parquet")
+    got = lambda name: {tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert got("genre_votes_all") == {("rock", 6), ("pop", 4), ("drum & bass", 4), ("fado", None)}
+    assert got("decoration_count_all") == {(i, {0: 2, 10: 1}.get(i, 0)) for i, x in enumerate(titles) if x is not None}
+    assert {i for (i,) in got("whole_word_all")} == {2, 3, 4, 6}
+    parts = ["Ann Poe|Ida Wren"] * 2 + ["Ann Poe|Ida Wren|Owl", "Ann Poe|Ida Wren", "Max", "Änn|Poe", "Änn|Poe", "Ann|Poe"]
+    assert got("credit_split_all") == {(i, credits[i], 1, x) for i, x in enumerate(parts)}
+    assert got("artist_spelling_all") == {("0", c, 1) for c in credits[:5]} | {("1", "Änn, Poe", 2)}
+    fold = dict(got("fold_text_all"))
+    assert (fold[2], fold[6], fold[7], fold[11], len(fold)) == ("moon river", "река river", "funf", "𝒜b", 11)
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(i, far(t, o[0]), round(far(t, o[0]) / max(len(t), len(o[0])), 3)) for i, _, t, _, _, o in rec if t is not None}
+    assert got("edit_distance_all") == want
