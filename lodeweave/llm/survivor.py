@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A value is learned to come before another where it did so at least so often, and so many times as often as after it.
 LEAST_SEEN, TIMES = 3, 2
@@ -31,8 +32,8 @@ def tops(rows: DataFrame, fields: list[str], order: DataFrame | None = None) ->
     another where it is seen earlier and trusted no more; the latest row is a maximal element of this order (by seen_at,
     then trust, then row_no, all descending). sure: it comes after every other row with a real value. A missing seen_at
     leaves a row unordered by time; where order (field, rank_of, rank: learned precedence of values) is given, it is placed by
-    the rank of its value instead, before the dated rows of that rank or more. Null trust counts as none. Groups are
-    reduced with partial sums alone (no window and no list of a group), so a hot key costs no more than others. A null key
+    the rank of its value instead, before the dated rows of that rank or more: it is the latest row only where all dated
+    rows have lower ranks and the latest of them a learned one. Null trust counts as none. Groups are reduced with partial sums alone (no window and no list of a group), so a hot key costs no more than others. A null key
     is no group; groups without a real value in a field give no row for it; empty input gives no rows.
     """
     aggs = [F.count("*").alias("rows")]
@@ -41,9 +42,11 @@ def tops(rows: DataFrame, fields: list[str], order: DataFrame | None = None) ->
         seen = F.coalesce("seen_at", F.expr(EPOCH))
         trust = F.coalesce("trust", F.lit(0))
         place = F.coalesce(F.col(f"_rank_{f}"), F.lit(0)) if order is not None else F.lit(0)
-        undated = F.when(F.col("seen_at").isNull(), place).otherwise(F.lit(0))
+        dated = F.col("seen_at").isNotNull()
         aggs += [
-            F.max(F.when(real, F.struct(seen.alias("at"), undated.alias("rank"), trust.alias("trust"), F.col("row_no"), F.col(f).alias("value")))).alias(f"_a_{f}"),
+            F.max(F.when(real & dated, F.struct(seen.alias("at"), trust.alias("trust"), F.col("row_no"), F.col(f).alias("value"), place.alias("rank")))).alias(f"_a_{f}"),
+            F.max(F.when(real & ~dated, F.struct(place.alias("rank"), trust.alias("trust"), F.col("row_no"), F.col(f).alias("value")))).alias(f"_d_{f}"),
+            F.max(F.when(real & dated, place)).alias(f"_r_{f}"),
             F.max(F.when(real, F.struct(seen.alias("at"), (-F.col("row_no")).alias("other")))).alias(f"_b_{f}"),
             F.max(F.when(real, F.struct(seen.alias("at"), F.col("row_no").alias("other")))).alias(f"_c_{f}"),
             F.max(F.when(real, trust)).alias(f"_t_{f}"),
@@ -53,21 +56,24 @@ def tops(rows: DataFrame, fields: list[str], order: DataFrame | None = None) ->
     groups = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(*aggs)
     per = []
     for f in fields:
-        a, b = F.col(f"_a_{f}"), F.col(f"_b_{f}")
-        sure = (F.col(f"_n_{f}") == 1) | ((F.col(f"_u_{f}") == 0) & (F.col(f"_c_{f}")["other"] == -b["other"]) & (a["trust"] >= F.col(f"_t_{f}")))
-        per.append(F.struct(F.lit(f).alias("field"), a["row_no"].alias("row_no"), a["value"].alias("value"), sure.alias("sure"), F.col(f"_n_{f}").alias("real")))
+        a, b, d = F.col(f"_a_{f}"), F.col(f"_b_{f}"), F.col(f"_d_{f}")
+        late = a.isNull() | F.coalesce((d["rank"] > F.col(f"_r_{f}")) & (a["rank"] > 0), F.lit(False))
+        of = lambda c, a=a, d=d, late=late: F.when(late, d[c]).otherwise(a[c])
+        sure = (F.col(f"_n_{f}") == 1) | ((F.col(f"_u_{f}") == 0) & (F.col(f"_c_{f}")["other"] == -b["other"]) & (of("trust") >= F.col(f"_t_{f}")))
+        per.append(F.struct(F.lit(f).alias("field"), of("row_no").alias("row_no"), of("value").alias("value"), sure.alias("sure"), F.col(f"_n_{f}").alias("real")))
     return groups.select("key", "rows", F.inline(F.array(*per))).filter("real > 0")
 
 
 def transitions(rows: DataFrame, field: str, kind: Column) -> DataFrame:
     """field, earlier, later: kinds of value that are learned to follow each other from rows with a time.
 
-    Each group gives one transition, from the kind of its first dated value to that of its last, so that a group costs the
-    same whatever its size.
+    Each change from one time of a group to the next counts, for all kinds seen at both; rows of one time are in no order.
+    Kinds of a time are few, so a long history costs its rows and no pairs of them.
     """
-    dated = rows.filter(F.col("seen_at").isNotNull() & F.col(field).isNotNull()).select("key", "seen_at", "row_no", kind.alias("kind"))
-    ends = dated.groupBy("key").agg(F.min(F.struct("seen_at", "row_no", "kind")).alias("a"), F.max(F.struct("seen_at", "row_no", "kind")).alias("b"))
-    steps = ends.filter("a.kind != b.kind").groupBy(F.col("a.kind").alias("earlier"), F.col("b.kind").alias("later")).agg(F.count("*").alias("n"))
+    dated = rows.filter(F.col("seen_at").isNotNull() & F.col(field).isNotNull() & F.col("key").isNotNull()).select("key", "seen_at", kind.alias("kind")).dropDuplicates()
+    placed = dated.withColumn("at", F.dense_rank().over(Window.partitionBy("key").orderBy("seen_at")))
+    first, then = placed.select("key", "at", F.col("kind").alias("earlier")), placed.select("key", (F.col("at") - 1).alias("at"), F.col("kind").alias("later"))
+    steps = first.join(then, ["key", "at"]).filter("earlier != later").groupBy("earlier", "later").agg(F.count("*").alias("n"))
     back = steps.select(F.col("earlier").alias("later"), F.col("later").alias("earlier"), F.col("n").alias("m"))
     net = steps.join(back, ["earlier", "later"], "left").filter(f"n >= {LEAST_SEEN} AND n > {TIMES} * coalesce(m, 0)")
     return net.select(F.lit(field).alias("field"), "earlier", "later", "n")

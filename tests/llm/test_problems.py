@@ -202,6 +202,22 @@ def test_missing_times_follow_learned_precedence(spark):
     assert got["u"] == (100, False) and got["g0"] == (1, True)
 
 
+def test_undated_rows_are_placed_among_dated_ones(spark):
+    at = lambda d: np.datetime64(f"2024-01-{d:02}").astype("datetime64[us]").item()
+    # The place of the kind between is told by no first and last value.
+    data = [(f"g{i}", 10 * i + j, at(1 + j), 1, ["Song", "Song (Reissue)", "SONG"][j]) for i in range(3) for j in range(3)]
+    data += [("after", 100, None, 1, "Tune (Reissue)"), ("after", 101, at(3), 3, "Tune"), ("after", 102, at(2), 1, "Tune")]
+    data += [("before", 110, None, 3, "Tune"), ("before", 111, at(3), 1, "Tune (Reissue)")]
+    data += [("level", 120, None, 3, "Tune (Reissue)"), ("level", 121, at(3), 1, "Tune (Reissue)")]
+    data += [("unlearned", 130, None, 3, "Tune (Reissue)"), ("unlearned", 131, at(3), 1, "Tune (Mono)")]
+    data += [("older", 140, None, 3, "Tune (Reissue)"), ("older", 141, at(1), 1, "TUNE"), ("older", 142, at(3), 1, "Tune")]
+    df = spark.createDataFrame(data, "key string, row_no bigint, seen_at timestamp_ntz, trust int, album string")
+    steps = {(x["earlier"], x["later"]): x["n"] for x in survivor.transitions(df.filter("key LIKE 'g%'"), "album", survivor.value_kind(F.col("album"))).collect()}
+    assert steps == {("plain", "(reissue"): 3, ("(reissue", "upper"): 3}
+    got = {x["key"]: (x["row_no"], x["sure"]) for x in survivor.survivors(df, ["album"]).filter("key NOT LIKE 'g%'").collect()}
+    assert got == {"after": (100, False), "before": (111, False), "level": (121, False), "unlearned": (131, False), "older": (142, False)}
+
+
 def test_real_lists(spark):
     df = spark.createDataFrame([(["", None],), ([],), (None,), (["x", ""],)], "v array<string>")
     assert [r[0] for r in df.select(survivor.real_list(F.col("v"))).collect()] == [None, None, None, '["x",""]']
