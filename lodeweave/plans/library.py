@@ -464,12 +464,19 @@ def wrapped_lines(s, d):
 
 @query()
 def print_pairs(s, d):
-    """Documents of one song laid over each other as prints of 32-bit words: each with the next of its song."""
-    docs = t(s, d, "documents").filter("song_no IS NOT NULL")
-    w = Window.partitionBy("song_no").orderBy("doc_id")
-    pairs = docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(w).alias("b")).filter("b IS NOT NULL")
-    p = sequences.prints_long(docs.select("doc_id", F.transform(T.words(F.col("text")), lambda x: F.crc32(x.cast("binary"))).alias("words")), "doc_id", "words")
-    return sequences.print_matches(p, "doc_id", pairs, "a", "b")
+    """Documents of one song laid over each other as prints of 32-bit words: each with every later one of its song.
+
+    Documents of equal prints are laid over others once, as one.
+    """
+    docs = t(s, d, "documents").filter("song_no IS NOT NULL").select("song_no", "doc_id", F.transform(T.words(F.col("text")), lambda x: F.crc32(x.cast("binary"))).alias("words"))
+    docs = docs.withColumn("print", F.sha2(F.array_join("words", " "), 256))
+    first = docs.groupBy("print").agg(F.min("doc_id").alias("rep"), F.any_value("words").alias("words"))
+    of = docs.select("song_no", "doc_id", "print").join(first.select("print", "rep"), "print")
+    one, two = of.select("song_no", F.col("doc_id").alias("a"), F.col("rep").alias("p")), of.select("song_no", F.col("doc_id").alias("b"), F.col("rep").alias("q"))
+    pairs = one.join(two, "song_no").filter("a < b").select("a", "b", "p", "q")
+    p = sequences.prints_long(first.filter("size(words) > 0"), "rep", "words")
+    met = sequences.print_matches(p, "rep", pairs.select("p", "q").dropDuplicates(), "p", "q")
+    return pairs.join(met, ["p", "q"]).drop("p", "q")
 
 
 @query("SELECT event_type, CAST(floor((value + 70) / 0.1) AS BIGINT) AS bin, count(*) n FROM events WHERE value >= -70 GROUP BY ALL")

@@ -313,3 +313,13 @@ def test_whole_tables(spark, tmp_path):
 
     want = {(i, far(t, o[0]), round(far(t, o[0]) / max(len(t), len(o[0])), 3)) for i, _, t, _, _, o in rec if t is not None}
     assert got("edit_distance_all") == want
+
+
+def test_print_pairs_are_all_pairs_of_a_song(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    said = lambda n: " ".join(f"w{(i * i + n * 7919) % 100003}" for i in range(60))
+    texts = [(1, said(1), 5), (2, said(2), 5), (3, "intro " + said(1), 5), (4, said(1), 5), (5, said(1), 6), (6, said(1), 7), (7, said(2), 7), (8, "", 5), (9, None, 5)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, song_no bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["a"], r["b"]): (r["offset"], r["agreeing"]) for r in entry.queries()["print_pairs"](spark, str(tmp_path)).collect() if r["verdict"] == "same"}
+    assert got == {(1, 3): (-1, 60), (1, 4): (0, 60), (3, 4): (1, 60)}
