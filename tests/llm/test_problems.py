@@ -76,6 +76,16 @@ def test_spellings_are_linked(spark):
     assert names.found(r.limit(0), al.limit(0), v.limit(0)).count() == 0
 
 
+def test_names_of_common_words_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON_LEAST", 1)  # nearly every word is common
+    monkeypatch.setattr(names, "COMMON_SHARE", 0.0)
+    plain = ["James Harrow", "Robert Harrow", "Rose Harrow", "James Winter", "Robert Winter", "Rose Winter", "Vale Philharmonic Orchestra", "Mount Philharmonic Orchestra", "Vale Chamber Orchestra", "Winter"]
+    variants = {"J. Harrow": "James Harrow", "Harrow, Bob": "Robert Harrow", "Jaems Winter": "James Winter", "Robert Wintre": "Robert Winter", "Rsoe Harrow": "Rose Harrow", "James K. Winter": "James Winter", "V. Philharmonic Orchestra": "Vale Philharmonic Orchestra", "Mount Philharmonc Orchestra": "Mount Philharmonic Orchestra", "Wintr": "Winter"}
+    data = [(x, 9, True) for x in plain] + [(x, 1, False) for x in variants]
+    got = rows(names.attributed(spark.createDataFrame(data, "name string, n bigint, plain boolean")))
+    assert got == {(x, x) for x in plain} | set(variants.items())
+
+
 # --- 2
 
 
