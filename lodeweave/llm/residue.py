@@ -146,6 +146,15 @@ def found(videos: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def clean(videos: DataFrame, records: DataFrame) -> DataFrame:
-    """Kept rows of both tables with the number of fields left out, as a report by table and field."""
-    return found(videos, records).groupBy("tab", "field").agg(F.count("*").alias("left_out"))
+    """tab and all columns of both tables: every row, with residue fields null and residue elements of records' artists removed.
 
+    Columns that a table doesn't have are null in its rows. A row whose number is null keeps its fields.
+    """
+    bad = scored(passages(videos, records)).groupBy("tab", "row_no").agg(F.collect_set("field").alias("_fields"), F.collect_set("text").alias("_texts"))
+    of = lambda tab, no: bad.filter(F.col("tab") == tab).select(F.col("row_no").alias(no), "_fields", "_texts")
+    out = lambda c: F.when(~F.coalesce(F.array_contains("_fields", c), F.lit(False)), F.col(c))
+    v = videos.join(of("video_infos", "info_no"), "info_no", "left").withColumns({c: out(c) for c in ("artist", "album")})
+    left = F.filter("artists", lambda x: x.isNull() | ~F.array_contains("_texts", x))
+    r = records.join(of("records", "record_no"), "record_no", "left").withColumn("artists", F.when(F.col("_texts").isNull(), F.col("artists")).otherwise(left))
+    parts = [x.drop("_fields", "_texts").withColumn("tab", F.lit(tab)) for tab, x in (("video_infos", v), ("records", r))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)

@@ -101,6 +101,17 @@ def test_residue_is_told_from_names(spark):
     assert residue.found(videos(spark, []), r.limit(0)).count() == 0
 
 
+def test_residue_is_left_out_of_the_rows(spark):
+    forms = ["${%s}", "{{ %s }}", "<your %s here>", "Please enable JavaScript to view %s", "lorem ipsum %s", "404 Not Found %s"]
+    names_ = [f"{a} {b}" for a in ("Vera", "Ines", "Milo", "Otis") for b in ("Karsur", "Draitov", "Golniest", "Mubaud")]
+    vs = [{"info_no": i, "artist": n, "album": f % "album", "title": "T"} for i, (n, f) in enumerate(itertools.product(names_, forms))]
+    r = records(spark, [{"record_no": 1, "artists": ["Vera Karsur", "{{ artist }}", None], "title": "R"}, {"record_no": 2, "artists": ["Vera Karsur"]}, {"record_no": 3}])
+    got = residue.clean(videos(spark, [*vs, {"info_no": 900, "title": "bare"}]), r).collect()
+    v = {x["info_no"]: x for x in got if x["tab"] == "video_infos"}
+    assert len(got) == len(vs) + 4 and all(v[x["info_no"]]["artist"] == x["artist"] and v[x["info_no"]]["album"] is None and v[x["info_no"]]["title"] == "T" for x in vs)
+    assert {x["record_no"]: x["artists"] for x in got if x["tab"] == "records"} == {1: ["Vera Karsur", None], 2: ["Vera Karsur"], 3: None}
+
+
 def test_held_out_accuracy():
     r = np.random.default_rng(4)
     word = lambda: "".join(r.choice(list("bdfgklmnprst")) + r.choice(list("aeiou")) for _ in range(3)).title()
