@@ -39,7 +39,9 @@ def sound_quality(samples: np.ndarray, rate: int) -> tuple[float, float]:
     n = min(len(samples), 1 << 15)
     if n < 64:
         return 0.0, 0.0
-    power = np.abs(np.fft.rfft(samples[:n] * np.hanning(n))) ** 2
+    # Windows over all samples, the last one ending with them.
+    starts = sorted({*range(0, len(samples) - n + 1, n), len(samples) - n})
+    power = sum(np.abs(np.fft.rfft(samples[i : i + n] * np.hanning(n))) ** 2 for i in starts)
     total = np.cumsum(power) / max(power.sum(), 1e-30)
     top = int(np.searchsorted(total, 0.999))
     return float(top * rate / n), float((np.abs(samples) >= 0.9999).mean())

@@ -323,3 +323,11 @@ def test_print_pairs_are_all_pairs_of_a_song(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id bigint, text string, song_no bigint").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["a"], r["b"]): (r["offset"], r["agreeing"]) for r in entry.queries()["print_pairs"](spark, str(tmp_path)).collect() if r["verdict"] == "same"}
     assert got == {(1, 3): (-1, 60), (1, 4): (0, 60), (3, 4): (1, 60)}
+
+
+def test_bandwidth_of_a_quiet_start():
+    from lodeweave.operators import media
+
+    t = np.arange(100_000) / 44_100
+    loud = np.where(t > 1, np.sin(2 * np.pi * 9000 * t), 0.001 * np.sin(2 * np.pi * 200 * t))
+    assert abs(media.sound_quality(loud, 44_100)[0] - 9000) < 100
