@@ -366,6 +366,19 @@ def test_personal_information(spark):
     assert pii.find(d.limit(0), al).count() == 0 and pii.find(d, al.limit(0)).filter("kind = 'person'").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("DE00 0000 0000 0000 0000 00", []), ("SSN 000-00-0000", []), ("Our 945-44-1845 again", []), ("123-45-6789 is mine", [("id_number", "123-45-6789")]), ("DE89 3704 0044 0532 0130 00", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+        ("DE88 3704 0044 0532 0130 00", []), ("12345678Z there", [("id_number", "12345678Z")]), ("12345678A there", []), ("DNI 12345678A", [("id_number", "12345678A")]), ("order X12345678", []), ("ring 06 12 34 56 78 now", [("phone", "06 12 34 56 78")]),
+        ("at https://a.test/555-1234/07700 or x@y.test", [("email", "x@y.test")]), ("İ a@b.test", [("email", "a@b.test")]), ("12 High Street, Oakham LE15 6AB now", [("address", "12 High Street, Oakham LE15 6AB")]),
+        ("the Street, Oakham 12345", []), ("@ (at) at a", []), ("10 Low Road, Great Milton 12345", [("address", "10 Low Road, Great Milton 12345")]), ("++((0012", []),
+    ],
+)
+def test_anchors_are_expanded_and_checked(text, want):
+    assert [p for p in pii.Finder().passages(text) if p[0] != "person"] == want
+
+
 def test_fit_without_one_side():
     assert residue.score("lorem ipsum", residue.fit([], ["Vera Karsur"])) < 0.01
     assert residue.score("lorem ipsum dolor", residue.fit(["lorem ipsum a", "lorem ipsum b"], [])) > 0.5
