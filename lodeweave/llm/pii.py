@@ -151,12 +151,13 @@ class Finder:
             urls = [_URL.match(text, a).span() for a, _ in at["scheme"]]
             runs = [r for r in runs if all(r[0] < a or r[0] >= b for a, b in urls)]
         labels = list(at.get("label", ()))
+        no_phone = [m.span() for a, _ in runs if a > 1 and (m := IDS["iban"].match(text, a - 2))]
         for a, _ in runs:
             if span := identity(text, a, labels, at.get("goods", ())):
                 put("id_number", *span)
                 labels.append(span)  # one label may stand before a list
         for a, _ in runs:
-            if (span := phone(text, a)) and not IDS["iban"].match(text, max(text.rfind(" ", 0, span[0] - 1) + 1, 0)):
+            if (span := phone(text, a)) and all(span[1] <= x or span[0] >= y for x, y in no_phone):
                 put("phone", *span)
         for run in _RUN.finditer(text):
             for m in _NEXT.finditer(run[0]):
