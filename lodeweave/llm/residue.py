@@ -3,59 +3,87 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .lookalike import mapped
 
-# Forms that are trusted to be a placeholder, filler, an error or a notice, whatever else a table holds.
+# Forms that are trusted to be residue: marks of template languages, filler Latin, status lines of HTTP and idioms of error
+# pages. They only start the model; other kinds are learned.
+STATUS = "bad request|unauthorized|forbidden|not found|method not allowed|request timeout|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout"
 TRUSTED = (
-    r"\$\{.*\}|\{\{.*\}\}|\{%.*%\}|<%.*%>|<\?.*\?>|%\(\w+\)s|#\{.*\}|^\W*\{\w*\}|\[\[.*\]\]|^\W*__\w+__|^\W*\$[A-Z_]+\$|^\W*%[\w.]+%",
-    r"^\W*<[\w .]+>\W*$|^\W*:\w+:\d*\W*$|^\W*\[[a-z_]+ name\]|^\W*\(\w+ name here\)",
-    r"lorem ipsum|dolor sit amet|consectetur adipiscing|blindtext|goes here|^\W*insert \w+ here|^\W*your \w+ name\W*$|^\W*todo\W|(?:placeholder|sample|filler|dummy) (?:text|artist|album|track|title|name)(?:_\w+)?\b|@@\w+@@|^\W*&\w+;\W*$",
-    r"^\W*(?:http )?error \d+|^\W*\d{3} (?:bad|internal|not|service|gateway|forbidden|unauthorized)|^\W*http \d{3}|gateway timeout|too many requests|request blocked|seite nicht gefunden|page introuvable|p[aá]gina no encontrada|page not found|this video is (?:un|not )|page you are looking for|requested url|something went wrong|an error occurred",
-    r"javascript|noscript|enable cookies|cookies (?:are|must|to)|requires? (?:scripts|cookies)|support scripts|checking your browser|session expired|timed out|access denied\W+code",
-    r"exception at|exception in|is not a function|object object|undefined (?:index|variable|method|is)|stack trace|traceback",
+    r"\$\{|\{\{|\{%|<%|<\?|%\(\w|#\{|\[\[|@@|__\w+__|^\W*\{\w*\}|^\W*&\w+;\W*$|^\W*<[\w ]*(?:artist|album|title|track|name)[\w ]*>",
+    r"lorem ipsum|dolor sit amet|\bplaceholder\b",
+    rf"\b(?:http|error|erreur|fehler)\W{{0,2}}\d{{3}}\b|^\W*[45]\d\d (?:{STATUS})|^\W*(?:gateway timeout|too many requests|service unavailable|internal server error)\b",
+    r"\bpage not found|\brequested url\b|\btimed out\W|\baccess denied\W+\w+ \d|\bsession expired|\brequest blocked|\bsomething went wrong|\ban error occurred",
+    r"javascript|\bcookies\b|\w(?:exception|error) (?:at|in) |traceback \(",
 )
 TRUST = "(?i)" + "|".join(TRUSTED)
-#: The model is fitted on so many distinct texts at most, those with the smallest hash; all counts and scores cover all rows.
+#: Names that stand for no one in particular but are names by convention.
+CONVENTIONAL = {"unknown artist", "various artists"}
+#: The model is fitted on so many labelled texts at most, trusted ones and others, those with the smallest hash, weighted to their numbers; every text is scored.
 FIT_TRUSTED, FIT_OTHERS = 4_000, 30_000
 #: How far an unlabelled text counts for residue at most while the model is fitted.
-BELIEF, ROUNDS = 0.5, 12
+BELIEF, ROUNDS = 0.5, 30
+#: Features of a text overlap (a word, its pairs and runs, and their forms), so each tells a quarter of what it would alone. SMOOTH: pseudo-count.
+#: FEW: what speaks for residue counts less the fewer texts it was learned from.
+OVERLAP, SMOOTH, FEW = 4.0, 0.5, 0.2
+#: A field is residue from this probability on.
+ACCEPT = 0.8
 _SLOT = {"artist", "album", "title", "track", "name", "song", "albumtitle", "artistname", "tracktitle"}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
+def _raw(text: str) -> list[str]:
+    """Words, numbers and marks; look-alikes in one form, a line between words taken as a space."""
+    if not text.isascii():
+        text = mapped(unicodedata.normalize("NFKC", text))
+    return _TOKEN.findall(re.sub(r"(?<=[^\W_])_(?=[^\W_])", " ", text.strip()))
+
+
+def _plain(raw: list[str]) -> list[str]:
+    return ["0" * min(len(w), 4) if w.isdigit() else "<slot>" if w.lower() in _SLOT else w.lower() for w in raw]
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case words, digits as 0, slot words as one and marks."""
-    out = []
-    for w in _TOKEN.findall(text.strip().lower()):
-        out.append("0" * min(len(w), 4) if w.isdigit() else "<slot>" if w in _SLOT else w)
-    return out
+    return _plain(_raw(text))
+
 
+def _form(w: str) -> str:
+    if not w[0].isalpha():
+        return "0" if w.isdigit() else w
+    return "X" if len(w) == 1 and w.isupper() else "XX" if w.isupper() else "x" if w.islower() else "Xx" if w[0].isupper() and w[1:].islower() else "xX"
 
-def _features(words: list[str], known: set[str] | None) -> set[str]:
-    """Words and runs of two and three, each once: a long text weighs no more than its words."""
+
+def _features(raw: list[str], known: set[str] | None) -> set[str]:
+    """Words and runs of two and three, pairs of their forms, and how many there are; each once, so a long text weighs no more than its words."""
+    low = _plain(raw)
     if known is not None:
-        words = [w if w in known else "<new>" for w in words]
-    ends = ["^", *words, "$"]
-    return {*words, *(f"{a} {b}" for a, b in zip(ends, ends[1:], strict=False)), *(f"{a} {b} {c}" for a, b, c in zip(ends, ends[1:], ends[2:], strict=False))}
+        low = [w if w in known else "<new>" for w in low]
+    ends, forms = ["^", *low, "$"], ["^", *map(_form, raw), "$"]
+    pairs, runs = (f"{a} {b}" for a, b in zip(ends, ends[1:], strict=False)), (f"{a} {b} {c}" for a, b, c in zip(ends, ends[1:], ends[2:], strict=False))
+    return {*low, *pairs, *runs, *(f"form {a} {b}" for a, b in zip(forms, forms[1:], strict=False)), f"size {min(len(raw), 8)}"}
 
 
-def fit(trusted: list[str], others: list[str]) -> dict:
-    """Weights of words and word runs: log-odds of residue against the rest.
+def fit(trusted: list[str], others: list[str], weight: float = 1.0) -> dict:
+    """Weights of features: log-odds of residue against the rest.
 
     The rest is unlabelled: each round, texts of it count for residue as far as the last round believed them to be.
-    A word seen in one text alone is taken as new. With no trusted text nothing counts for residue.
+    weight: how many times more a trusted text stands for than another. A word seen in one text alone is taken as new.
+    With no trusted text nothing counts for residue.
     """
     if not trusted:
         return {"known": set(), "weights": {}, "bias": -40.0}
-    docs = [tokens(x) for x in [*trusted, *others]]
+    docs = [_raw(x) for x in [*trusted, *others]]
     seen: dict[str, int] = {}
     for d in docs:
-        for w in set(d):
+        for w in set(_plain(d)):
             seen[w] = seen.get(w, 0) + 1
     known = {w for w, n in seen.items() if n > 1}
     index: dict[str, int] = {}
@@ -64,37 +92,41 @@ def fit(trusted: list[str], others: list[str]) -> dict:
         for f in sorted(_features(d, known)):
             rows.append(i)
             cols.append(index.setdefault(f, len(index)))
-    r, c, n = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), len(docs)
+    r, c, n, k = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), len(docs), len(trusted)
+    stands = np.ones(n)
+    stands[:k] = weight
     p = np.zeros(n)
-    p[: len(trusted)] = 1.0
+    p[:k] = 1.0
     weights, bias = np.zeros(len(index)), 0.0
     for _ in range(ROUNDS):
-        pos = np.bincount(c, weights=p[r], minlength=len(index))
-        neg = np.bincount(c, weights=1 - p[r], minlength=len(index))
-        share = float(np.clip(pos.sum() / max(pos.sum() + neg.sum(), 1e-9), 1e-6, 1 - 1e-6))  # smoothed towards the classes' own shares, so a rare word tells little
-        weights = np.log((pos + share) / (neg + 1 - share)) - np.log(share / (1 - share))
-        bias = np.log((p.sum() + 1) / ((1 - p).sum() + 1))
-        z = np.clip(bias + np.bincount(r, weights=weights[c], minlength=n), -40, 40)
-        new = 1 / (1 + np.exp(-z))
-        new *= BELIEF
-        new[: len(trusted)] = 1.0
+        good, rest = stands * p, stands * (1 - p)
+        pos, neg = np.bincount(c, weights=good[r], minlength=len(index)), np.bincount(c, weights=rest[r], minlength=len(index))
+        share = float(np.clip(good.sum() / stands.sum(), 1e-6, 1 - 1e-6))  # smoothed towards the classes' own shares, so a rare feature tells little
+        weights = (np.log((pos + SMOOTH * share) / (neg + SMOOTH * (1 - share))) - np.log(share / (1 - share))) / OVERLAP
+        weights = np.where(weights > 0, weights * pos / (pos + FEW), weights)
+        bias = np.log((good.sum() + 1) / (rest.sum() + 1))
+        new = BELIEF / (1 + np.exp(-np.clip(bias + np.bincount(r, weights=weights[c], minlength=n), -40, 40)))
+        new[:k] = 1.0
         if np.abs(new - p).max() < 1e-4:
             break
         p = new
-    keep = {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 0.05}
+    keep = {f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 0.01}
     return {"known": known, "weights": keep, "bias": float(bias)}
 
 
 def score(text: str, model: dict) -> float:
-    """Probability that the text is residue. An empty or blank text has none."""
-    words = tokens(text)
-    if not words:
+    """Probability that the text is residue. An empty or blank text has none, nor has a conventional name."""
+    raw = _raw(text)
+    if not raw or " ".join(_plain(raw)) in _NO_RESIDUE:
         return 0.0
     get = model["weights"].get
-    z = model["bias"] + sum(get(f, 0.0) for f in sorted(_features(words, model["known"])))
+    z = model["bias"] + sum(get(f, 0.0) for f in sorted(_features(raw, model["known"])))
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+_NO_RESIDUE = {" ".join(tokens(x)) for x in CONVENTIONAL}
+
+
 def passages(videos: DataFrame, records: DataFrame) -> DataFrame:
     """tab, row_no, field, text of each value that may be residue; an array field has a passage for each element."""
     v = videos.select(F.lit("video_infos").alias("tab"), F.col("info_no").alias("row_no"), F.expr("stack(2, 'artist', artist, 'album', album) AS (field, text)"))
@@ -113,14 +145,15 @@ def model_of(texts: DataFrame) -> dict:
         few = df.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= min(2**63 - 1, int((2 * bound - 1) * 2.0**63)))
         return [r["text"] for r in few.orderBy("h", "text").limit(n).collect()]
 
-    return fit(ranked(texts.filter(sure), FIT_TRUSTED, counts["sure"]), ranked(texts.filter(~sure), FIT_OTHERS, counts["others"]))
+    held, rest = ranked(texts.filter(sure), FIT_TRUSTED, counts["sure"]), ranked(texts.filter(~sure), FIT_OTHERS, counts["others"])
+    return fit(held, rest, (counts["sure"] / max(1, len(held))) / max(1.0, counts["others"] / max(1, len(rest))))
 
 
-def scored(passage_rows: DataFrame) -> DataFrame:
-    """passage_rows (with a column text) and p, the probability of residue; each distinct text is scored once.
+def scored(passage_rows: DataFrame, least: float = ACCEPT) -> DataFrame:
+    """The rows of passage_rows (with a column text) whose text is residue with a probability p of least or more.
 
-    Null and blank texts have to be filtered out before. Works on any number of rows of one text: the text is
-    counted and scored before it is joined back. With no trusted text nothing is found.
+    Null and blank texts have to be filtered out before. Works on any number of rows of one text: each distinct text is
+    scored once and joined back. With no trusted text nothing is found.
     """
     texts = cut(passage_rows.select("text").dropDuplicates())
     model = model_of(texts)
@@ -131,7 +164,14 @@ def scored(passage_rows: DataFrame) -> DataFrame:
         return values.map(lambda x: score(x, m))
 
     good = texts.select("text", F.pandas_udf(series, "double")("text").alias("p"))
-    return passage_rows.join(good.filter("p >= 0.8"), "text")
+    return passage_rows.join(good.filter(F.col("p") >= least), "text")
+
+
+def decided(videos: DataFrame, records: DataFrame) -> DataFrame:
+    """tab, row_no, field, texts of each field that is residue: the chance that any of its passages is one, each of them half likely at least."""
+    likely = scored(passages(videos, records), 0.5).dropDuplicates(["tab", "row_no", "field", "text"])
+    none = F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-9)))))
+    return likely.groupBy("tab", "row_no", "field").agg(none.alias("none"), F.collect_set("text").alias("texts")).filter(1 - F.col("none") >= ACCEPT).drop("none")
 
 
 def album_residue(videos: DataFrame) -> DataFrame:
@@ -141,8 +181,7 @@ def album_residue(videos: DataFrame) -> DataFrame:
 
 
 def found(videos: DataFrame, records: DataFrame) -> DataFrame:
-    """A record's field is residue if any passage of it is."""
-    return scored(passages(videos, records)).select("tab", "row_no", "field").dropDuplicates()
+    return decided(videos, records).select("tab", "row_no", "field")
 
 
 def clean(videos: DataFrame, records: DataFrame) -> DataFrame:
@@ -150,7 +189,7 @@ def clean(videos: DataFrame, records: DataFrame) -> DataFrame:
 
     Columns that a table doesn't have are null in its rows. A row whose number is null keeps its fields.
     """
-    bad = scored(passages(videos, records)).groupBy("tab", "row_no").agg(F.collect_set("field").alias("_fields"), F.collect_set("text").alias("_texts"))
+    bad = decided(videos, records).groupBy("tab", "row_no").agg(F.collect_set("field").alias("_fields"), F.flatten(F.collect_set("texts")).alias("_texts"))
     of = lambda tab, no: bad.filter(F.col("tab") == tab).select(F.col("row_no").alias(no), "_fields", "_texts")
     out = lambda c: F.when(~F.coalesce(F.array_contains("_fields", c), F.lit(False)), F.col(c))
     v = videos.join(of("video_infos", "info_no"), "info_no", "left").withColumns({c: out(c) for c in ("artist", "album")})

@@ -1,6 +1,7 @@
 """The training-data operators against brute force and hand-worked cases, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import itertools
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -112,6 +113,26 @@ def test_residue_is_left_out_of_the_rows(spark):
     assert {x["record_no"]: x["artists"] for x in got if x["tab"] == "records"} == {1: ["Vera Karsur", None], 2: ["Vera Karsur"], 3: None}
 
 
+def test_kinds_that_are_not_trusted_are_learned(spark):
+    """Only template marks, HTTP lines and the like are trusted; forms that share words or shapes with them are found as well."""
+    r = np.random.default_rng(9)
+    word = lambda: "".join(r.choice(list("bdfgklmnprst")) + r.choice(list("aeiou")) for _ in range(3)).title()
+    good = [f"{word()} {word()}" for _ in range(400)] + [f"{word()} & {word()}" for _ in range(40)] + [f"The {word()}s" for _ in range(60)] + [f"Please Enable {word()}" for _ in range(4)]
+    slots = ("artist", "album", "title", "track", "name")
+    sure = [f % w for w in slots for f in ("${%s}", "{{ %s }}", "An error occurred while loading %s", "[[%s_1]]", "Placeholder %s", "JavaScript is needed for %s")]
+    held = [f % w for w in slots for f in ("[%s name]", "$%s$", "Your %s name", "Insert %s here")]
+    assert not any(re.search(residue.TRUST, x) for x in held)
+    got = {x["row_no"] for x in residue.found(videos(spark, [{"info_no": i, "artist": x} for i, x in enumerate([*good, *sure, *held])]), records(spark, [])).collect()}
+    assert len(got & set(range(len(good) + len(sure), len(good) + len(sure) + len(held)))) >= 0.9 * len(held) and len(got & set(range(len(good)))) <= 4
+
+
+def test_passages_of_a_field_are_decided_together(spark, monkeypatch):
+    """Two elements that are likely residue each make a field residue, one alone doesn't."""
+    monkeypatch.setattr(residue, "scored", lambda rows, least: rows.withColumn("p", F.lit(0.6)).filter("text LIKE 'x%'"))
+    r = records(spark, [{"record_no": 1, "artists": ["xa", "xb"]}, {"record_no": 2, "artists": ["xa", "xa", "b"]}, {"record_no": 3, "artists": []}])
+    assert rows(residue.found(videos(spark, []), r)) == {("records", 1, "artists")}
+
+
 def test_held_out_accuracy():
     r = np.random.default_rng(4)
     word = lambda: "".join(r.choice(list("bdfgklmnprst")) + r.choice(list("aeiou")) for _ in range(3)).title()
