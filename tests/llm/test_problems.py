@@ -348,7 +348,32 @@ def test_leaks_against_all_places(spark):
 def test_apportionment():
     got = mixing.apportion({"a": Fraction(53), "b": Fraction(24), "c": Fraction(23)}, {"a": 99, "b": 99, "c": 99}, 7)
     assert got == {"a": 3, "b": 2, "c": 2} and sum(mixing.apportion({"a": Fraction(1)}, {"a": 2}, 5).values()) == 2
-    assert mixing.plan({}, [("a", 1.0, 1)]) == (0, {})
+    assert mixing.largest({}, [("a", 1.0, 1)]) == 0 and mixing.apportion({}, {}, 3) == {}
+
+
+@pytest.mark.parametrize("seats", [0, 1, 7, 100, 12345])
+def test_apportionment_against_single_steps(seats):
+    r = np.random.default_rng(seats)
+    weights, caps = {f"s{i}": Fraction(int(x), 1000) for i, x in enumerate(r.integers(1, 1000, 9))}, {f"s{i}": int(x) for i, x in enumerate(r.integers(0, 3000, 9))}
+    want = dict.fromkeys(weights, 0)
+    for _ in range(seats):
+        if open_ := [s for s in want if want[s] < caps[s]]:
+            want[min(open_, key=lambda s: (-weights[s] / (2 * want[s] + 1), s))] += 1
+    assert mixing.apportion(weights, caps, seats) == want
+
+
+def test_ten_thousand_shards_give_the_whole_quota(spark):
+    blocks = {i: 90 + i % 21 if i else 400_000 for i in range(10_000)}  # shard 0 holds a third of all
+    shards = spark.createDataFrame([(s, i, n) for s in ("a", "b", "c") for i, n in blocks.items()], "source string, shard int, blocks bigint")
+    total = sum(blocks.values())
+    wanted = {"a": total // 5, "b": 3, "c": total - 1}
+    got = {}
+    for r in mixing.shard_quotas(shards, wanted).collect():
+        assert 0 <= r["quota"] <= blocks[r["shard"]]
+        got.setdefault(r["source"], {})[r["shard"]] = r["quota"]
+    assert {s: sum(q.values()) for s, q in got.items()} == wanted
+    a = got["a"]
+    assert max(blocks[i] / (2 * a[i] + 1) for i in a if a[i] < blocks[i]) <= min(blocks[i] / (2 * a[i] - 1) for i in a if a[i]) + 1e-9  # no seat where another quotient is higher
 
 
 def test_mix(spark):
@@ -359,6 +384,10 @@ def test_mix(spark):
     got = {r["source"]: r for r in mixing.shares(m, goals).collect()}
     assert abs(got["big"]["actual_share"] - 0.7) < 0.01 and got["big"]["most_repeats"] == 1 and got["small"]["most_repeats"] <= 3 and got["gone"]["tokens"] == 0
     assert rows(m) == rows(mixing.mix(d.repartition(5), goals))
+    many = mixing.mix(d, goals, shard_rows=10)  # 72 shards
+    got = {r["source"]: r for r in mixing.shares(many, goals).collect()}
+    assert many.select("shard").distinct().count() > 40 and abs(got["big"]["actual_share"] - 0.7) < 0.02 and abs(got["small"]["actual_share"] - 0.3) < 0.02
+    assert got["big"]["most_repeats"] == 1 and got["small"]["most_repeats"] <= 3 and got["big"]["tokens"] + got["small"]["tokens"] > 0.95 * sum(r["tokens"] for r in mixing.shares(m, goals).collect())
     assert m.filter("source = 'none' OR doc_id >= 900").count() == 0 and m.select("doc_id").distinct().count() == m.count()
     assert mixing.mix(d.limit(0), goals).count() == 0
 
