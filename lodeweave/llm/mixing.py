@@ -127,7 +127,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str = VOC
     block = max(1, min(total // blocks, sum(r["t"] for r in held.values()) * shard_rows // (100 * max(1, every))))
     counted = counted.withColumn("shard", F.pmod("_order", F.lit(every // shard_rows + 1)).cast("int"))
     whole = F.greatest(F.lit(1), F.round(F.col("t") / F.lit(block))).cast("bigint")
-    sizes = counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).withColumn("blocks", whole)
+    sizes = cut(counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).withColumn("blocks", whole))
     supply = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("blocks").alias("n")).collect()}
     weights = {s: Fraction(str(w)) for s, w, _ in goals if w and w > 0 and supply.get(s)}
     seats = apportion(weights, {s: supply[s] * max(0, r or 0) for s, _, r in goals if s in weights}, total // block)

@@ -38,9 +38,27 @@ z AS (SELECT * FROM x UNION ALL SELECT * FROM y)
 """
 
 
+# 18 words or more, one in twelve of them replaced, hold 8 words in a row that are not: such runs give the shifts, and of
+# each shift a window is good where equal words (1 each) make up for replaced ones (-11 each).
+_LEAKS = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\\[\\d{1,3}:\\d{2}(?:[.:]\\d{1,3})?\\]', ' ', 'g'), '[^\\p{L}\\p{N}]+'), lambda y: y <> '') w FROM documents), i AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\\[\\d{1,3}:\\d{2}(?:[.:]\\d{1,3})?\\]', ' ', 'g'), '[^\\p{L}\\p{N}]+'), lambda y: y <> '') w FROM eval_items),
+dl AS (SELECT doc_id, generate_subscripts(w, 1) pos, unnest(w) x FROM d), il AS (SELECT item_id, generate_subscripts(w, 1) pos, unnest(w) x FROM i),
+dg AS (SELECT doc_id, pos, hash(w[pos:pos + 7]) g FROM (SELECT doc_id, w, generate_subscripts(w, 1) pos FROM d) WHERE pos + 7 <= len(w)),
+ig AS (SELECT item_id, pos, hash(w[pos:pos + 7]) g FROM (SELECT item_id, w, generate_subscripts(w, 1) pos FROM i) WHERE pos + 7 <= len(w)),
+s AS (SELECT DISTINCT doc_id, item_id, dg.pos - ig.pos shift FROM dg JOIN ig USING (g)),
+m AS (SELECT s.doc_id, s.item_id, s.shift, il.pos, sum(CASE WHEN dl.x = il.x THEN 1 ELSE -11 END) OVER (PARTITION BY s.doc_id, s.item_id, s.shift ORDER BY il.pos) c,
+        row_number() OVER (PARTITION BY s.doc_id, s.item_id, s.shift ORDER BY il.pos) n
+      FROM s JOIN il USING (item_id) JOIN dl ON dl.doc_id = s.doc_id AND dl.pos = il.pos + s.shift),
+z AS (SELECT doc_id, item_id, c, n, min(c) OVER (PARTITION BY doc_id, item_id, shift ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 18 PRECEDING) before FROM m)
+"""
+_LEAKED = "SELECT DISTINCT doc_id, item_id FROM zWHERE n >= 18 AND c >= least(0, coalesce(before, 0))"
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only the copies can be told in SQL; the other problems need what it can't say."""
+    """What SQL can say of the problems: copies, leaks, and survivors of rows that all have a time."""
     return {
+        "p8_found": _LEAKS + _LEAKED,
+        "p8_items": _LEAKS + f"SELECT item_id, count(doc_id) documents FROM eval_items LEFT JOIN ({_LEAKED}) USING (item_id) GROUP BY item_id",
         "p6_found": _GROUPS + "SELECT tab, first_no, row_no FROM z WHERE row_no > first_no",
         "p6_collapsed": _GROUPS + """, r AS (SELECT 'video_infos' tab, info_no row_no FROM video_infos UNION ALL SELECT 'agreed', agreed_no FROM agreed)
 SELECT tab, row_no, coalesce(copies, 1) copies FROM r LEFT JOIN z USING (tab, row_no) WHERE first_no IS NULL OR first_no = row_no""",
