@@ -16,6 +16,7 @@ def queries() -> dict:
         "p3_links": lambda s, d: linkage.link(t(s, d, "video_infos"), t(s, d, "records")),
         "p5_found": lambda s, d: survivor.found(t(s, d, "video_infos"), t(s, d, "records"), t(s, d, "claims"), residue.album_residue(t(s, d, "video_infos"))),
         "p5_survivors": lambda s, d: survivor.all_survivors(t(s, d, "video_infos"), t(s, d, "records"), t(s, d, "claims"), residue.album_residue(t(s, d, "video_infos"))),
+        "p5_without_albums": lambda s, d: survivor.found_without_albums(t(s, d, "records"), t(s, d, "claims")),
         "p6_found": lambda s, d: merkle.found(t(s, d, "video_infos"), t(s, d, "agreed")),
         "p6_collapsed": lambda s, d: merkle.collapsed(t(s, d, "video_infos"), t(s, d, "agreed")),
         "p7_found": lambda s, d: lookalike.found(t(s, d, "video_infos"), t(s, d, "records")),
@@ -51,7 +52,21 @@ m AS (SELECT s.doc_id, s.item_id, s.shift, il.pos, sum(CASE WHEN dl.x = il.x THE
       FROM s JOIN il USING (item_id) JOIN dl ON dl.doc_id = s.doc_id AND dl.pos = il.pos + s.shift),
 z AS (SELECT doc_id, item_id, c, n, min(c) OVER (PARTITION BY doc_id, item_id, shift ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 18 PRECEDING) before FROM m)
 """
-_LEAKED = "SELECT DISTINCT doc_id, item_id FROM zWHERE n >= 18 AND c >= least(0, coalesce(before, 0))"
+_LEAKED = "SELECT DISTINCT doc_id, item_id FROM z WHERE n >= 18 AND c >= least(0, coalesce(before, 0))"
+
+
+_R = ("title", "release_date", "country", "label", "barcode")
+_C = ("title", "artist", "album", "date", "genre", "isrc")
+_REAL = "trim(regexp_replace({}, '\\s+', ' ', 'g')) <> ''"
+_LATEST = f"""
+WITH r AS (SELECT 'records' tab, id k, record_no row_no, seen_at, trust, unnest({list(_R)}) field, unnest([{', '.join(f'on_release.{f}' for f in _R)}]) v FROM records WHERE id IS NOT NULL),
+c AS (SELECT 'claims' tab, concat(song_no, ' ', source_key) k, claim_no row_no, seen_at, trust, unnest({list(_C)}) field, unnest([{', '.join(f"list_filter(offers['{f}'], lambda z: {_REAL.format('z')})" for f in _C)}]) v
+      FROM claims WHERE song_no IS NOT NULL AND source_key IS NOT NULL),
+n AS (SELECT tab, k FROM (SELECT DISTINCT tab, k, row_no FROM r UNION ALL SELECT DISTINCT tab, k, row_no FROM c) GROUP BY tab, k HAVING count(*) > 1),
+x AS (SELECT tab, k, row_no, seen_at, trust, field FROM r WHERE {_REAL.format('v')} UNION ALL SELECT tab, k, row_no, seen_at, trust, field FROM c WHERE len(v) > 0)
+SELECT tab, row_no, field FROM x a SEMI JOIN n USING (tab, k)
+WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.tab = a.tab AND b.k = a.k AND b.field = a.field AND b.row_no <> a.row_no AND (b.seen_at >= a.seen_at OR b.trust > a.trust))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -59,6 +74,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p8_found": _LEAKS + _LEAKED,
         "p8_items": _LEAKS + f"SELECT item_id, count(doc_id) documents FROM eval_items LEFT JOIN ({_LEAKED}) USING (item_id) GROUP BY item_id",
+        "p5_without_albums": _LATEST,
         "p6_found": _GROUPS + "SELECT tab, first_no, row_no FROM z WHERE row_no > first_no",
         "p6_collapsed": _GROUPS + """, r AS (SELECT 'video_infos' tab, info_no row_no FROM video_infos UNION ALL SELECT 'agreed', agreed_no FROM agreed)
 SELECT tab, row_no, coalesce(copies, 1) copies FROM r LEFT JOIN z USING (tab, row_no) WHERE first_no IS NULL OR first_no = row_no""",

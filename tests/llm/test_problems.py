@@ -241,7 +241,7 @@ def test_missing_times_follow_learned_precedence(spark):
     data += [("u", 100, None, 1, "Tune (Reissue)"), ("u", 101, None, 1, "Tune")]
     df = spark.createDataFrame(data, "key string, row_no bigint, seen_at timestamp_ntz, trust int, album string")
     got = {x["key"]: (x["row_no"], x["sure"]) for x in survivor.survivors(df, ["album"]).collect()}
-    assert got["u"] == (100, False) and got["g0"] == (1, True)
+    assert got["u"] == (100, True) and got["g0"] == (1, True)
 
 
 def test_undated_rows_are_placed_among_dated_ones(spark):
@@ -253,11 +253,22 @@ def test_undated_rows_are_placed_among_dated_ones(spark):
     data += [("level", 120, None, 3, "Tune (Reissue)"), ("level", 121, at(3), 1, "Tune (Reissue)")]
     data += [("unlearned", 130, None, 3, "Tune (Reissue)"), ("unlearned", 131, at(3), 1, "Tune (Mono)")]
     data += [("older", 140, None, 3, "Tune (Reissue)"), ("older", 141, at(1), 1, "TUNE"), ("older", 142, at(3), 1, "Tune")]
+    data += [("later", 150, None, 3, "Tune (Reissue)"), ("later", 151, at(3), 3, "Tune"), ("later", 152, at(2), 1, "Tune")]
+    data += [("earlier", 160, None, 1, "Tune"), ("earlier", 161, at(3), 1, "Tune (Reissue)")]
+    data += [("two", 170, None, 1, "Tune (Reissue)"), ("two", 171, None, 1, "Tune (2nd Reissue)"), ("two", 172, at(3), 1, "Tune")]
+    data += [("chain", 180, None, 1, "TUNE"), ("chain", 181, None, 1, "Tune (Reissue)"), ("chain", 182, None, 1, "Tune")]
     df = spark.createDataFrame(data, "key string, row_no bigint, seen_at timestamp_ntz, trust int, album string")
     steps = {(x["earlier"], x["later"]): x["n"] for x in survivor.transitions(df.filter("key LIKE 'g%'"), "album", survivor.value_kind(F.col("album"))).collect()}
     assert steps == {("plain", "(reissue"): 3, ("(reissue", "upper"): 3}
     got = {x["key"]: (x["row_no"], x["sure"]) for x in survivor.survivors(df, ["album"]).filter("key NOT LIKE 'g%'").collect()}
-    assert got == {"after": (100, False), "before": (111, False), "level": (121, False), "unlearned": (131, False), "older": (142, False)}
+    # Trust that is higher elsewhere, a like kind and an unlearned one leave it open which row is the last.
+    assert got == {"after": (100, False), "before": (111, False), "level": (121, False), "unlearned": (131, False), "older": (142, False), "later": (150, True), "earlier": (161, True), "two": (171, False), "chain": (180, True)}
+
+
+def test_learned_order_has_no_rings(spark):
+    edges = spark.createDataFrame([("f", "a", "b", 9), ("f", "b", "c", 8), ("f", "c", "a", 7), ("f", "x", "c", 3), ("g", "p", "q", 3)], "field string, earlier string, later string, n int")
+    ranks, before = survivor.learned_order(edges)
+    assert ranks == {"f": {"a": 1, "b": 2, "x": 1, "c": 3}, "g": {"p": 1, "q": 2}} and before["f"] == {"a": set(), "x": set(), "b": {"a"}, "c": {"a", "b", "x"}}
 
 
 def test_real_lists(spark):
