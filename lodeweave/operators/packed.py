@@ -1,11 +1,11 @@
 """Several values packed in one field: a parsing expression grammar with ordered alternatives.
 
     value     <- space* item (sep+ item)* sep* end
-    item      <- whole / quoted / bracketed / bare
-    whole     <- a name known to stand alone although it holds a separator, up to sep or end
-    quoted    <- quote chars quote &(space* (sep / end))      on failure: back to bare, flagged
-    bracketed <- '(' word-sep chars ')' &(space* (sep / end))  on failure: back to bare
-    bare      <- chars up to sep
+    item      <- quoted / whole / bracketed / bare
+    quoted    <- quote chars quote &(space* (sep / end))       on failure: back to the next alternative, flagged
+    whole     <- a name known to stand alone although it holds separators of any kind, up to sep or end; the longest
+    bracketed <- bracket chars bracket &(space* (sep / end))    on failure (never closed, or more follows): back to bare
+    bare      <- (bracket chars bracket / char)* up to sep      a bracket that is never closed is a char as any other
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ SEP = re.compile(rf"(?P<strong>{STRONG})|(?P<join>{JOINERS})|(?P<soft>{SOFT})",
 ANY_SEP = rf"(?i){STRONG}|{JOINERS}|{SOFT}"
 PAIRS = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
 RESULT = "array<struct<pos:int,item:string,flag:string>>"
-LONGEST_NAME = 3  # pieces of a known name between its soft separators
+BRACKETS = {"(": ")", "[": "]"}
+FLAGS = {"open": "open quote", "inner": "inner quote", "bracket": "open bracket"}
 
 
 def key(c: Column) -> Column:
@@ -46,15 +47,13 @@ def pieces(text: str) -> list[tuple[int, int, str]]:
     return [*out, (at, len(text), kind)]
 
 
-def spans(text: str | None) -> list[str]:
-    """The pieces and the runs of pieces joined by soft separators that may be one name, as lookup keys."""
+def spans(text: str | None, longest: int) -> list[str]:
+    """The pieces and the runs of up to longest pieces that may be one name, as lookup keys."""
     if text is None:
         return []
     cut, out = pieces(text), []
     for i in range(len(cut)):
-        for j in range(i, min(i + LONGEST_NAME, len(cut))):
-            if j > i and cut[j][2] != "soft":
-                break
+        for j in range(i, min(i + longest, len(cut))):
             if k := _key(text[cut[i][0] : cut[j][1]].strip(" \"'“”‘’«»")):
                 out.append(k)
     return list(dict.fromkeys(out))
@@ -83,69 +82,137 @@ def _shaped(text: str, cut: list, i: int, j: int, known: dict[str, str]) -> bool
     return False
 
 
-def parse(text: str, known: dict[str, str]) -> list[tuple[int, str, str | None]]:
+def _balanced(text: str, a: int, b: int) -> bool:
+    """Whether every bracket that opens in text[a:b] closes there; one that closes unopened doesn't matter."""
+    depth: list[str] = []
+    for c in text[a:b]:
+        if c in BRACKETS:
+            depth.append(BRACKETS[c])
+        elif depth and c == depth[-1]:
+            depth.pop()
+    return not depth
+
+
+class _Grammar:
+    """Each alternative tells the last piece of an item that begins with piece i, or none where it fails."""
+
+    def __init__(self, text: str, known: dict[str, str], longest: int) -> None:
+        self.text, self.known, self.longest, self.cut = text, known, longest, pieces(text)
+
+    def start(self, i: int) -> int:
+        a = self.cut[i][0]
+        return a + len(self.text[a:]) - len(self.text[a:].lstrip())
+
+    def quoted(self, i: int) -> int | None:
+        a = self.start(i)
+        close = PAIRS.get(self.text[a : a + 1])
+        if close is None:
+            return None
+        for j in range(i, len(self.cut)):
+            body = self.text[a : self.cut[j][1]].rstrip()
+            inner = body[1:-1]
+            same = close == body[0] and j > i and inner.count(close) % 2 == 0
+            if len(body) > 1 and body.endswith(close) and (inner.count(close) == 0 or same):
+                return j
+        return None
+
+    def whole(self, i: int) -> int | None:
+        for j in range(min(i + self.longest, len(self.cut)) - 1, i, -1):
+            if self.known.get(_key(self.text[self.cut[i][0] : self.cut[j][1]])) == "whole":
+                return j
+        for j in range(min(i + 3, len(self.cut)) - 1, i, -1):
+            if all(self.cut[n][2] == "soft" for n in range(i + 1, j + 1)) and _shaped(self.text, self.cut, i, j, self.known):
+                return j
+        return None
+
+    def bracketed(self, i: int) -> int | None:
+        a = self.start(i)
+        close = BRACKETS.get(self.text[a : a + 1])
+        if close is None:
+            return None
+        for j in range(i, len(self.cut)):
+            body = self.text[a : self.cut[j][1]].rstrip()
+            if _balanced(body, 0, len(body)):
+                return j if len(body) > 1 and body.endswith(close) and not _balanced(body, 0, len(body) - 1) else None
+        return None
+
+    def bare(self, i: int) -> int:
+        a = self.cut[i][0]
+        if not _balanced(self.text, a, self.cut[i][1]):
+            for j in range(i + 1, len(self.cut)):
+                if self.cut[j][2] == "join":  # a guest in brackets is a value of its own
+                    break
+                if _balanced(self.text, a, self.cut[j][1]):
+                    return j
+        return i
+
+    def flag(self, i: int, j: int) -> str | None:
+        a = self.start(i)
+        if self.text[a : a + 1] in PAIRS:
+            return FLAGS["inner" if PAIRS[self.text[a]] in self.text[a + 1 : self.cut[j][1]] else "open"]
+        return None if _balanced(self.text, a, self.cut[j][1]) else FLAGS["bracket"]
+
+    def item(self, i: int) -> tuple[int, str | None]:
+        if (j := self.quoted(i)) is not None:
+            return j, None
+        for alternative in (self.whole, self.bracketed, self.bare):
+            if (j := alternative(i)) is not None:
+                return j, self.flag(i, j)
+        raise AssertionError("bare takes anything")
+
+
+def _prose(text: str, kinds: set[str], items: list[str]) -> bool:
+    """Whether a text without any known name is a sentence or a template and no list: it holds marks of code, or, split by soft separators alone, an item that is a clause of small words."""
+    if re.search(r"[{}<>$%]", text):
+        return True
+
+    def clause(x: str) -> bool:
+        w = x.split()
+        return len(w) > (2 if x.islower() else 5) and sum(y[:1].islower() for y in w) * 2 > len(w)
+
+    return not kinds & {"strong", "join"} and any(map(clause, items))
+
+
+def parse(text: str, known: dict[str, str], longest: int = 3) -> list[tuple[int, str, str | None]]:
     """Position (from 1), item and error flag of each value.
 
     known: lookup key to what it is: whole (one name although it holds a separator), name (a name without one),
-    given (a given name), both (name and given).
+    given (a given name), both (name and given). longest: pieces that a whole name may have.
     """
-    cut, out, i, flag = pieces(text), [], 0, None
-
-    def put(a: int, b: int, flag: str | None) -> None:
-        item = text[a:b].strip()
+    g, out, i = _Grammar(text, known, longest), [], 0
+    while i < len(g.cut):
+        j, flag = g.item(i)
+        item = text[g.start(i) : g.cut[j][1]].strip()
         for _ in range(2):
             if len(item) > 1 and item[0] in PAIRS and item[-1] == PAIRS[item[0]] and item[1:-1].count(item[0]) == 0:
                 item = item[1:-1].strip()
         item = re.sub(r"(?i)^(?:feat\.?|ft\.?|featuring|and)\s+", "", item).strip()
         if item:
             out.append((len(out) + 1, item, flag))
-
-    while i < len(cut):
-        a, end, _ = cut[i]
-        start = a + (len(text[a:]) - len(text[a:].lstrip()))
-        took = 0
-        if start < len(text) and text[start] in PAIRS:  # quoted
-            close, j = PAIRS[text[start]], i
-            while j < len(cut):
-                body = text[start:cut[j][1]].rstrip()
-                if len(body) > 1 and body.endswith(close) and body[1:-1].count(close) in (0, body[1:-1].count(text[start]) if close == text[start] and body[1:-1].count(close) % 2 == 0 and j > i else 0):
-                    took = j - i + 1
-                    break
-                j += 1
-            if took:
-                put(start, cut[j][1], None)
-                i += took
-                continue
-            flag = "open quote"
-        for j in range(min(i + LONGEST_NAME, len(cut)) - 1, i, -1):  # whole
-            if all(cut[n][2] == "soft" for n in range(i + 1, j + 1)) and (known.get(_key(text[a : cut[j][1]])) == "whole" or _shaped(text, cut, i, j, known)):
-                put(a, cut[j][1], flag)
-                took = j - i + 1
-                break
-        if not took:
-            put(a, end, flag)
-            took = 1
-        i += took
-        flag = None
-    known_items = sum(known.get(_key(x)) in ("whole", "name", "both") for _, x, _ in out)
-    if not known_items and len(out) > 1 and (text.rstrip().endswith((".", "...")) or re.search(r"[{}<>$%]", text) or any(len(x.split()) > (2 if x.islower() else 5) for _, x, _ in out)):
+        i = j + 1
+    if len(out) > 1 and not any(known.get(_key(x)) in ("whole", "name", "both") for _, x, _ in out) and _prose(text, {k for _, _, k in g.cut[1:]}, [x for _, x, _ in out]):
         return [(1, text.strip(), "prose")]
     return out
 
 
-def _spans_series(values: pd.Series) -> pd.Series:
-    return values.map(spans)
-
-
-def _parse_series(values: pd.Series, known: pd.Series) -> pd.Series:
-    def one(text, hits):
+def _parse_series(values: pd.Series, known: pd.Series, longest: pd.Series) -> pd.Series:
+    def one(text, hits, longest):
         seen: dict[str, str] = {}
         for h in hits if hits is not None else []:
             k, kind = h["k"], h["kind"]
             seen[k] = kind if k not in seen or kind == "whole" else seen[k] if seen[k] in (kind, "whole") else "both"
-        return [{"pos": p, "item": x, "flag": f} for p, x, f in parse(text, seen)]
+        return [{"pos": p, "item": x, "flag": f} for p, x, f in parse(text, seen, longest)]
+
+    return pd.Series([one(*r) for r in zip(values, known, longest, strict=True)])
+
+
+def _asked(texts: DataFrame, longest: int) -> DataFrame:
+    """text and k: each run of pieces that may be a name."""
+
+    def series(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: spans(x, longest))
 
-    return pd.Series([one(t, h) for t, h in zip(values, known, strict=True)])
+    return texts.select("text", F.explode(F.pandas_udf(series, "array<string>")("text")).alias("k"))
 
 
 def split_values(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -153,13 +220,16 @@ def split_values(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     lexicon: k (a lookup key) and kind (whole, name or given), of any size: it is joined, never broadcast by us.
     Texts without a separator are one value; they and null texts aren't in the result. Empty values between
-    separators are skipped and don't count. A quote that isn't closed is part of the item, which is flagged.
+    separators are skipped and don't count. A quote or bracket that isn't closed is part of the item, which is flagged.
+    Names of any number of pieces are kept whole: runs are looked up as long as the lexicon's longest name.
     """
     held = texts.filter(F.col("text").rlike(ANY_SEP)).select("text")
-    asked = held.select("text", F.explode(F.pandas_udf(_spans_series, "array<string>")("text")).alias("k"))
+    pieces_of = F.size(F.split("k", f"(?i){STRONG}|{JOINERS}|{SOFT}"))
+    longest = max(3, lexicon.filter("kind = 'whole'").agg(F.max(pieces_of)).first()[0] or 0)  # one number: what the longest name has
+    asked = _asked(held, longest)
     hits = asked.join(lexicon.select("k", "kind").dropDuplicates(), "k").groupBy("text").agg(F.collect_list(F.struct("k", "kind")).alias("hits"))
     met = held.join(hits, "text", "left")
-    return met.select("text", F.pandas_udf(_parse_series, RESULT)("text", "hits").alias("items"))
+    return met.select("text", F.pandas_udf(_parse_series, RESULT)("text", "hits", F.lit(longest)).alias("items"))
 
 
 def name_lexicon(names: DataFrame) -> DataFrame:
@@ -179,18 +249,18 @@ def name_lexicon(names: DataFrame) -> DataFrame:
 def label_lexicon(labels: DataFrame) -> DataFrame:
     """k, kind of labels (one column name) of a field that may itself be packed.
 
-    A label with a soft separator is whole where it stands alone, one of its parts never does, and no shorter such label
-    lies within it.
+    A label with a soft separator is whole where it stands alone, one of its parts never does (one of more than three
+    parts: none of them), and no shorter such label lies within it.
     """
     n = labels.filter(F.col("name").isNotNull()).select(key(F.col("name")).alias("k")).filter("k != ''").groupBy("k").agg(F.count("*").alias("n"))
     plain = n.filter(~F.col("k").rlike(ANY_SEP)).select("k")
     soft = n.filter(F.col("k").rlike(f"(?i){SOFT}") & ~F.col("k").rlike(rf"(?i){STRONG}|{JOINERS}|[\"']"))
     parts = soft.select("k", F.posexplode(F.split("k", f"(?i){SOFT}")).alias("at", "p")).withColumn("p", F.trim("p"))
-    few = parts.groupBy("k").agg(F.count("*").alias("parts"), F.min(F.col("p") != "").alias("full")).filter(f"full AND parts <= {LONGEST_NAME}")
+    few = parts.groupBy("k").agg(F.count("*").alias("parts"), F.min(F.col("p") != "").alias("full")).filter("full")
     alone = plain.select(F.col("k").alias("p"), F.lit(True).alias("alone"))
-    lacks = parts.join(few, "k").join(alone, "p", "left").groupBy("k", "parts").agg(F.count_if(F.col("alone").isNull()).alias("lacks")).filter("lacks > 0")
+    lacks = parts.join(few, "k").join(alone, "p", "left").groupBy("k", "parts").agg(F.count_if(F.col("alone").isNull()).alias("lacks")).filter("lacks > 0 AND (parts <= 3 OR lacks = parts)")
     small = lacks.filter("parts = 2").select(F.col("k").alias("small"))
-    big = lacks.filter("parts > 2").select("k", F.explode(F.pandas_udf(_spans_series, "array<string>")("k")).alias("small")).filter("k != small")
+    big = _asked(lacks.filter("parts > 2").select(F.col("k").alias("text")), 2).select(F.col("text").alias("k"), F.col("k").alias("small")).filter("k != small")
     wholes = lacks.select("k").join(big.join(small, "small").select("k"), "k", "left_anti")
     return plain.select("k", F.lit("name").alias("kind")).unionByName(wholes.select("k", F.lit("whole").alias("kind")))
 
