@@ -217,8 +217,8 @@ def test_packed_values():
     ("text", "want"),
     [
         ("Crosby, Stills, Nash & Young; Tom Fry", [("Crosby, Stills, Nash & Young", None), ("Tom Fry", None)]), ("Foo Jr.; Bar Sr.", [("Foo Jr.", None), ("Bar Sr.", None)]), ("Man with a Mission, X", [("Man with a Mission", None), ("X", None)]),
-        ("(Anna, Berg), Tom Fry", [("(Anna, Berg)", None), ("Tom Fry", None)]), ("(Anna, Berg", [("(Anna", "open bracket"), ("Berg", None)]), ("((a, b), c), d", [("((a, b), c)", None), ("d", None)]), ("Band (UK, London), Other", [("Band (UK, London)", None), ("Other", None)]),
-        ("(a, b) c, d", [("(a, b) c", None), ("d", None)]), ('"Anna, Berg", Tom', [("Anna, Berg", None), ("Tom", None)]), ('"Anna, Berg', [('"Anna', "open quote"), ("Berg", None)]), ('"Anna" Berg, Tom Fry', [('"Anna" Berg', "inner quote"), ("Tom Fry", None)]),
+        ("(Anna, Berg), Tom Fry", [("(Anna, Berg)", None), ("Tom Fry", None)]), ("(Anna, Berg", [("(Anna", "open bracket"), ("Berg", None)]), ("((A, B), C), D", [("((A, B), C)", None), ("D", None)]), ("Band (UK, London), Other", [("Band (UK, London)", None), ("Other", None)]),
+        ("(A, B) C, D", [("(A, B) C", None), ("D", None)]), ('"Anna, Berg", Tom', [("Anna, Berg", None), ("Tom", None)]), ('"Anna, Berg', [('"Anna', "open quote"), ("Berg", None)]), ('"Anna" Berg, Tom Fry', [('"Anna" Berg', "inner quote"), ("Tom Fry", None)]),
         ("Sorry, something went wrong.", [("Sorry, something went wrong.", "prose")]), ("", []), (" ; , ", []), ("Foo Jr., Bar Sr.", [("Foo Jr.", None), ("Bar Sr.", None)]),
     ],
 )
