@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -29,7 +30,7 @@ SLIPS = 3
 UPLOAD = "title_keys array<string>, names array<bigint>, tokens array<bigint>, version string, track bigint, topic bigint"
 RECORD = "title_key string, title bigint, names array<bigint>, tokens array<bigint>, version string"
 #: Votes with the number of their outcomes; 0 is always "says nothing".
-VOTES = {"title": 4, "artist": 4, "length": 6, "version": 5, "track": 3, "channel": 3}
+VOTES = {"title": 4, "artist": 4, "length": 6, "version": 5, "track": 3, "channel": 3, "take": 3}
 ROUNDS, PRIOR, BELIEF, GROWTH = 100, 0.5, 0.05, 3.0
 ACCEPT = 0.5
 
@@ -202,7 +203,10 @@ def vote_columns(pairs: DataFrame, title: Column) -> DataFrame:
     version = F.when((a == "") & (b == ""), 3).when(a == b, 4).when(a == "", 2).otherwise(1)
     track = F.when(F.col("u.track").isNull(), 0).when(F.col("u.track") == F.col("r.title"), 2).otherwise(1)
     channel = F.when(F.col("u.topic").isNull(), 0).when(F.array_contains("r.tokens", F.col("u.topic")), 2).otherwise(1)
-    votes = {"title": title, "artist": artist, "length": length, "version": version, "track": track, "channel": channel}
+    # A length that is far off is another take; one that is off, under another name, another song.
+    off = (length == 1) | (artist == 1) & (length == 2)
+    take = F.when(length == 0, 0).when(off, 1).otherwise(2)
+    votes = {"title": title, "artist": artist, "length": length, "version": version, "track": track, "channel": channel, "take": take}
     return pairs.select("uid", "rid", gap.alias("gap"), *[v.cast("int").alias(f"v_{n}") for n, v in votes.items()])
 
 
@@ -213,12 +217,29 @@ def judged(u: DataFrame, r: DataFrame) -> DataFrame:
     return vote_columns(both, F.col("title"))
 
 
+def _correlated(votes: np.ndarray, n: np.ndarray, post: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Of each function the sum of its positive correlations with the others within the classes, where both say something."""
+    said = [tables[j][votes[:, j]] for j in range(len(tables))]
+    out = np.zeros(len(tables))
+    for j, i in itertools.combinations(range(len(tables)), 2):
+        num = da = db = 0.0
+        both = (votes[:, i] > 0) & (votes[:, j] > 0)
+        for w in (n * post * both, n * (1 - post) * both):
+            if w.sum() > 0:
+                a, b = said[j] - (w * said[j]).sum() / w.sum(), said[i] - (w * said[i]).sum() / w.sum()
+                num, da, db = num + (w * a * b).sum(), da + (w * a * a).sum(), db + (w * b * b).sum()
+        if da > 0 and db > 0:
+            out[[i, j]] += max(0.0, num / np.sqrt(da * db))
+    return out
+
+
 def label_model(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[tuple[int, ...], float], list[dict]]:
     """Posterior of each pattern of votes, and what was learned of each function.
 
     Expectation-maximization of two latent classes over counts of vote patterns; a vote of 0 tells nothing. Functions
-    that vote alike beyond what the classes explain share their weight: each one's log-odds is divided by one plus the
-    sum of its positive correlations with the others within the classes.
+    that vote alike beyond what the classes explain share their weight: in every round each one's log-odds are divided by
+    one plus the sum of its positive correlations with the others within the classes, so posterior and correlations are
+    learned together.
     """
     votes = np.array([p for p, _ in patterns], dtype=int)
     n = np.array([c for _, c in patterns], dtype=float)
@@ -239,25 +260,11 @@ def label_model(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[tuple
             m[0] = u[0] = 0
             tables.append(np.concatenate([[0.0], np.log(m[1:] / m.sum()) - np.log(u[1:] / u.sum())]))
         prior = float(np.clip((n * post).sum() / n.sum(), 1e-6, 1 - 1e-6))
+        share = 1 / (1 + _correlated(votes, n, post, tables))
         new = 1 / (1 + np.exp(-np.clip(total(prior, tables, share), -40, 40)))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    said = [tables[j][votes[:, j]] for j in range(len(sizes))]
-    for j in range(len(sizes)):
-        excess = 0.0
-        for i in range(len(sizes)):
-            if i == j:
-                continue
-            num = da = db = 0.0
-            both = (votes[:, i] > 0) & (votes[:, j] > 0)
-            for w in (n * post * both, n * (1 - post) * both):
-                if w.sum() > 0:
-                    a, b = said[j] - (w * said[j]).sum() / w.sum(), said[i] - (w * said[i]).sum() / w.sum()
-                    num, da, db = num + (w * a * b).sum(), da + (w * a * a).sum(), db + (w * b * b).sum()
-            excess += max(0.0, num / np.sqrt(da * db)) if da > 0 and db > 0 else 0.0
-        share[j] = 1 / (1 + excess)
-    post = 1 / (1 + np.exp(-np.clip(total(prior, tables, share), -40, 40)))
     learned = [{"vote": v, "share": float(share[j]), "weights": [float(x) for x in tables[j]]} for j, v in enumerate(VOTES)]
     return {tuple(int(x) for x in p): float(q) for (p, _), q in zip(patterns, post, strict=True)}, learned
 
@@ -280,8 +287,6 @@ def link(videos: DataFrame, records: DataFrame) -> DataFrame:
     spark = videos.sparkSession
     table = spark.createDataFrame([(*p, q) for p, q in posterior.items()], ", ".join(f"{c} int" for c in names) + ", confidence double")
     scored = voted.join(F.broadcast(table), names).filter(F.col("confidence") >= ACCEPT)
-    # A length that is far off is another take; one that is off, under another name, another song.
-    scored = scored.filter("v_length != 1 AND NOT (v_artist = 1 AND v_length = 2)")
     kept = scored.join(r.select("rid", "id"), "rid")
     best = kept.groupBy("uid").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("gap", F.lit(1e12)).alias("g"), F.col("id"))).alias("first"))
     return best.join(u.select("uid", "source_key"), "uid").select("source_key", F.col("first.id").alias("record_id"), F.round(-F.col("first.c"), 6).alias("confidence"))
