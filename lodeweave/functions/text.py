@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .compare import ROMAN, SERIES
+
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 MARKS = r"\p{M}+"
 UNSEEN = r"[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]"
@@ -107,9 +109,10 @@ def latin_only(c: Column) -> Column:
 
 
 def main_script(c: Column) -> Column:
-    """The script most letters are of; ties in the order listed; null where there is no letter."""
-    kinds = ["Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Thai"]
-    counts = F.array(*[F.struct(F.regexp_count(c, F.lit(rf"\p{{Is{k}}}")).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(kinds)])
+    """The script most letters are of, Han and kana being one; the first seen of equals; null where there is no letter."""
+    kinds = {"Latin": r"\p{IsLatin}", "Cyrillic": r"\p{IsCyrillic}", "Greek": r"\p{IsGreek}", "Han": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"} | {k: rf"\p{{Is{k}}}" for k in ("Armenian", "Georgian", "Hangul", "Arabic", "Hebrew", "Thai", "Devanagari")}
+    seen = lambda p: -F.length(F.regexp_extract(c, rf"(?s)^(.*?){p}", 1))
+    counts = F.array(*[F.struct(F.regexp_count(c, F.lit(p)).alias("n"), seen(p).alias("i"), F.lit(k).alias("k")) for k, p in kinds.items()])
     best = F.array_max(counts)
     return F.when(best["n"] > 0, best["k"])
 
@@ -151,12 +154,13 @@ def folded_path(c: Column) -> Column:
 
 
 def numbers_in(c: Column) -> Column:
-    """Digit runs of a name as numbers, with Roman numerals that follow a series word."""
-    roman = F.regexp_extract_all(F.lower(c), F.lit(r"\b(?:part|pt\.?|vol\.?|volume|no\.?|chapter|book|act) ([ivx]+)\b"), 1)
-    value = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
-    table = F.create_map(*[x for k, v in value.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
+    """Digit runs of a name as numbers, then Roman numerals to XX; I and V only after a word of a series."""
+    ws = words(c)
+    value = F.create_map(*[x for k, v in ROMAN.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
+    series = F.array(*map(F.lit, sorted(SERIES)))
+    one = lambda w, i: F.when(~w.isin("i", "v") | ((i > 0) & F.array_contains(series, F.get(ws, i - 1))), F.element_at(value, w))
     digits = F.transform(F.regexp_extract_all(c, F.lit(r"(\d{1,15})"), 1), lambda x: x.cast("bigint"))
-    return F.concat(digits, F.filter(F.transform(roman, lambda x: table[x]), lambda x: x.isNotNull()))
+    return F.concat(digits, F.filter(F.transform(ws, one), lambda x: x.isNotNull()))
 
 
 def version_kinds(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
+# The names of rules.
 Rule = tuple[str, Callable[[Column, dict[str, Column]], Column]]
 _TAIL = r"(?i)\s*[(\[]\s*(?:{})\s*[)\]]\s*$"
 
@@ -30,9 +31,29 @@ def _title_artist(c: Column, ctx: dict[str, Column]) -> Column:
     return F.when((rest != "") & (T.letters_key(head) == T.letters_key(artist)), rest).otherwise(c)
 
 
+# What a channel's name adds to its owner's.
+CHANNEL_SUFFIXES = ("official youtube channel", "official channel", "official", "vevo", "オフィシャルチャンネル", "公式チャンネル", "オフィシャル", "公式")
+_SPACED = [x for x in CHANNEL_SUFFIXES if x.isascii() and x != "vevo"]
+_CHANNEL = r"(?i)(?:[\s-]+(?:" + "|".join(_SPACED) + r")|[\s-]*(?:" + "|".join(x for x in CHANNEL_SUFFIXES if x not in _SPACED) + r"))$"
+_ALIAS = r"^\s*(\S.*?)(?: / |/ | /|／)\s*(\S.*?)\s*$"
+_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+
+
 def _album_as_artist(c: Column, ctx: dict[str, Column]) -> Column:
-    album, own = ctx.get("album", F.lit(None).cast("string")), ctx.get("album_artist", F.lit(None).cast("string"))
-    return F.when((T.letters_key(c) == T.letters_key(album)) & own.isNotNull(), own).otherwise(c)
+    """An artist that is the name of an album of the album's artist (own_album) is the album's artist."""
+    own = ctx.get("album_artist", F.lit(None).cast("string"))
+    is_album = F.coalesce(ctx.get("own_album", F.lit(False)), F.lit(False))
+    return F.when(is_album & own.isNotNull() & (T.letters_key(c) != T.letters_key(own)), own).otherwise(c)
+
+
+def _channel_alias(c: Column, ctx: dict[str, Column]) -> Column:
+    """'Name / Alias' of a channel is its first name; in a structured field only where the two read as one person's."""
+    a, b = F.trim(F.regexp_extract(c, _ALIAS, 1)), F.trim(F.regexp_extract(c, _ALIAS, 2))
+    x, y = T.letters_key(a), T.letters_key(b)
+    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    first = lambda t: T.letters_key(F.array_join(F.transform(F.split(t, r"\s+"), lambda w: F.substring(w, 1, 1)), ""))
+    one = (a.rlike(_CJK) & T.latin_only(b)) | (T.latin_only(a) & b.rlike(_CJK)) | ((F.length(short) >= 4) & long.startswith(short)) | ((F.size(F.split(a, r"\s+")) > 1) & (first(a) == y)) | ((F.size(F.split(b, r"\s+")) > 1) & (first(b) == x))
+    return F.when((a != "") & (b != "") & (~F.coalesce(ctx.get("structured", F.lit(True)), F.lit(True)) | one), a).otherwise(c)
 
 
 TITLE_RULES: list[Rule] = [
@@ -54,9 +75,9 @@ TITLE_RULES: list[Rule] = [
 ]
 ARTIST_RULES: list[Rule] = [
     TITLE_RULES[0],
-    ("structure.channel_alias", lambda c, ctx: F.coalesce(ctx.get("alias", F.lit(None).cast("string")), c)),
-    ("packaging.channel_suffix", lambda c, _: F.regexp_replace(c, r"(?i)(?:\s+-\s+topic|vevo|\s+official)\s*$", "")),
-    ("structure.joined_artists", lambda c, _: F.array_join(F.filter(F.transform(F.split(c, r"\s*[;|\t]\s*|\s+/\s+"), lambda x: F.trim(x)), lambda x: x != ""), "; ")),
+    ("structure.channel_alias", _channel_alias),
+    ("packaging.channel_suffix", lambda c, _: F.regexp_replace(F.trim(c), _CHANNEL, "")),
+    ("structure.joined_artists", lambda c, _: F.array_join(F.filter(F.transform(F.split(c, r"[;；]"), lambda x: F.trim(x)), lambda x: x != ""), "; ")),
     ("structure.album_as_artist", _album_as_artist),
     TITLE_RULES[-1],
 ]
@@ -95,22 +116,79 @@ LINE_RULES: list[tuple[str, Callable[[Column], Column]]] = [
 LINE_DROPS: list[tuple[str, Callable[[Column], Column]]] = [
     ("lyrics.packaging.cues", lambda c: c.rlike(rf"(?i)^\s*[\[(]\s*{SECTIONS}\b[^\])]*[\])]\s*$")),
     ("lyrics.packaging.sound", lambda c: c.rlike(r"(?i)^\s*[\[(*♪]+\s*(?:music|applause|laughter|cheering|silence|instrumental|humming)\s*[\])*♪]*\s*$|^\s*♪+\s*$")),
-    ("lyrics.packaging.commentary", lambda c: c.rlike(r"(?i)^\s*(?:\d+\s*)?(?:embed|you might also like|see .* live|get tickets as low as.*)\s*$")),
-    ("lyrics.packaging.credits", lambda c: c.rlike(r"(?i)^\s*(?:lyrics|music|words|written|composed|produced|vocals?|lyricist|composer|arranged)(?: and (?:music|lyrics))?\s*(?:by\b|:)")),
-    ("lyrics.packaging.headers", lambda c: c.rlike(rf"(?i)^\s*{SECTIONS}\s*\d*\s*:?\s*$|^\s*\[(?:ti|ar|al|by|length|re|ve):")),
 ]
-
-
-def cleaned_lines(lines: DataFrame, words: str = "words", off: set[str] = frozenset(), title: Column | None = None) -> DataFrame:
-    """Lines with their words tidied and rule lines dropped; rules holds what changed a kept line."""
+# Phrases of an uploader's notes, and ID tags of lyrics, those of makers among them.
+COMMENTARY = ("captions", "caption", "subtitles", "subtitle", "translated by", "translation by", "translations by", "timed by", "storyboard", "character design", "music video", "thanks for watching", "on youtube", "on tiktok", "http")
+ID_TAG, MAKERS = r"^\s*\[\s*(ti|ar|al|au|by|length|offset|re|ve|id|la|#)\s*:.*\]\s*$", ("by", "re", "ve", "id", "#")
+_NOTE = r"(?i)http|(?<![\p{L}\p{N}])(?:" + "|".join(x.replace(" ", r"[^\p{L}\p{N}]+") for x in COMMENTARY if x != "http") + r")(?![\p{L}\p{N}])"
+_MADE = r"(?:lyrics?|music|words|written|composed|produced|producer|vocals?|lyricist|composer|arranged|arrangement|subtitles?|mixed|mastered)"
+_CREDIT = rf"(?i)^\s*{_MADE}(?:(?: and | & |, ?){_MADE})*\s*(?:by\b|[:：])"
+_SURE_CREDIT = rf"(?i)^\s*[(\[]?\s*{_MADE}(?:(?: and | & |, ?){_MADE})*(?: by)?\s*[:：]\s*[^.!?]*$|^\s*(?:https?://|www\.)\S+\s*$"
+_HEADING = r" / |／| - | – | — | \| |｜| by "
+
+
+def line_kinds(words: Column, title: Column, artist: Column) -> Column:
+    """What a line of words is among the rest: cue, heading (title, artist or both), credit or sung."""
+    parts = F.transform(F.split(words, _HEADING), T.letters_key)
+    named = F.array(T.letters_key(title), T.letters_key(artist))
+    heading = F.coalesce((F.size(F.array_except(parts, named)) == 0) & F.array_contains(parts, T.letters_key(title)), F.lit(False)) | F.coalesce(T.letters_key(words) == T.letters_key(artist), F.lit(False))
+    cue = LINE_DROPS[0][1](words) | LINE_DROPS[1][1](words)
+    return F.when(cue, "cue").when(heading & (T.letters_key(words) != ""), "heading").when(words.rlike(_CREDIT) | words.rlike(_SURE_CREDIT), "credit").otherwise("sung")
+
+
+def edge_drops(lines: DataFrame, key: str, words: str, off: set[str], title: Column, artist: Column, subtitle: Column) -> DataFrame:
+    """Lines without headings and credits before the first sung line or after the last, credits that run two lines or that nothing sung is shaped as, and a subtitle's notes that open or close it."""
+    held, by = (F.col(words) != "") & ~F.col(words).rlike("(?i)" + ID_TAG), Window.partitionBy(key).orderBy("line", "ms")
+    whole = Window.partitionBy(key)
+    lines = lines.withColumn("_kind", F.when(held, line_kinds(F.col(words), title, artist))).withColumn("_note", F.when(held, F.col(words).rlike(_NOTE)))
+    sung = F.when(F.col("_kind") == "sung", F.col("line"))
+    talk = F.when(held & ~F.col("_note"), F.col("line"))
+    lines = lines.withColumns({
+        "_first": F.min(sung).over(whole), "_last": F.max(sung).over(whole), "_from": F.min(talk).over(whole), "_to": F.max(talk).over(whole),
+        "_b": F.last("_kind", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)) == "credit",
+        "_a": F.first("_kind", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)) == "credit",
+    })
+    edge = F.col("_first").isNull() | (F.col("line") < F.col("_first")) | (F.col("line") > F.col("_last"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    drops = {
+        "lyrics.packaging.commentary": yes(subtitle) & yes(F.col("_note")) & (F.col("_from").isNull() | (F.col("line") < F.col("_from")) | (F.col("line") > F.col("_to"))),
+        "lyrics.packaging.title": yes(F.col("_kind") == "heading") & edge,
+        "lyrics.packaging.credits": yes(F.col("_kind") == "credit") & (edge | yes(F.col("_a")) | yes(F.col("_b")) | F.col(words).rlike(_SURE_CREDIT)),
+    }
+    gone = F.lit(False)
+    for name, test in drops.items():
+        gone = gone if name in off else gone | test
+    return lines.filter(~gone).drop("_kind", "_note", "_first", "_last", "_from", "_to", "_a", "_b")
+
+
+def without_headers(lines: DataFrame, key: str, words: str) -> DataFrame:
+    """No ID tag in untimed lyrics; in timed ones none of makers, and of each other the first alone."""
+    tag = F.lower(F.regexp_extract(words, "(?i)" + ID_TAG, 1))
+    timed = F.max(F.col("ms").isNotNull()).over(Window.partitionBy(key))
+    nth = F.row_number().over(Window.partitionBy(key, "_tag").orderBy("line"))
+    lines = lines.withColumn("_tag", tag).withColumn("_timed", timed).withColumn("_nth", nth)
+    stays = (F.col("_tag") == "") | F.col("ms").isNotNull() | (F.col("_timed") & ~F.col("_tag").isin(*MAKERS) & (F.col("_nth") == 1))
+    return lines.filter(stays).drop("_tag", "_timed", "_nth")
+
+
+def cleaned_lines(lines: DataFrame, words: str = "words", off: set[str] = frozenset(), title: Column | None = None, artist: Column | None = None, subtitle: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """Lines with their words tidied and rule lines dropped; rules holds what changed a kept line.
+
+    title, artist and subtitle (whether the lyrics are a subtitle) are columns of lines; where one isn't given, the rules
+    that need it find nothing.
+    """
+    lines = lines.withColumn("rules", F.array().cast("array<string>"))
     for name, edit in LINE_RULES:
         if name not in off:
-            lines = lines.withColumn("_new", edit(F.col(words))).withColumn("rules", F.array_compact(F.array(*([F.when(F.col("_new") != F.col(words), F.lit(name))]))) if "rules" not in lines.columns else F.concat("rules", F.array_compact(F.array(F.when(F.col("_new") != F.col(words), F.lit(name)))))).withColumn(words, F.col("_new")).drop("_new")
+            lines = lines.withColumn("_new", edit(F.col(words)))
+            lines = lines.withColumn("rules", F.concat("rules", F.array_compact(F.array(F.when(F.col("_new") != F.col(words), F.lit(name)))))).withColumn(words, F.col("_new")).drop("_new")
+    if "lyrics.packaging.headers" not in off:
+        lines = without_headers(lines, key, words)
+    none = F.lit(None).cast("string")
+    lines = edge_drops(lines, key, words, off, none if title is None else title, none if artist is None else artist, F.lit(False) if subtitle is None else subtitle)
     for name, test in LINE_DROPS:
         if name not in off:
             lines = lines.filter(~F.coalesce(test(F.col(words)), F.lit(False)))
-    if title is not None and "lyrics.packaging.title" not in off:
-        lines = lines.filter(~((F.col("line") == 1) & (T.letters_key(F.col(words)) == T.letters_key(title))))
     return lines
 
 

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import compare
+from ..functions.compare import monge_elkan  # noqa: F401
+
 
 def least_cost(cost: np.ndarray) -> list[int | None]:
     """Column of each row at the least total cost, inf being no option; a row may stay unplaced where none is left.
@@ -87,7 +90,8 @@ def allocate(items: list[list[tuple[float, float, float]]], most: float, sigmas:
     """Rung of each item so that all fit at the least loss; None where even the last rungs don't.
 
     items: rungs of (bytes, loss, sigma), the first the best. Hull steps are taken by loss per byte until
-    bytes + ceil(sigmas * sqrt(variance)) fits; then items are raised while they fit, until none rises.
+    bytes + ceil(sigmas * sqrt(variance)) fits. Then the items so lowered are raised to the best rung that fits, those
+    whose last step lost most for each byte first, ties by item, and again until none rises.
     """
     choice = [0] * len(items)
     total = sum(i[0][0] for i in items)
@@ -100,22 +104,26 @@ def allocate(items: list[list[tuple[float, float, float]]], most: float, sigmas:
             slope = (rungs[b][1] - rungs[a][1]) / (rungs[a][0] - rungs[b][0])
             steps.append((slope, n, b))
     heapq.heapify(steps)
+    last = [0.0] * len(items)
     while over(total, var) and steps:
-        _, n, b = heapq.heappop(steps)
+        slope, n, b = heapq.heappop(steps)
+        last[n] = slope
         old, new = items[n][choice[n]], items[n][b]
         total, var, choice[n] = total - old[0] + new[0], var - old[2] ** 2 + new[2] ** 2, b
     if over(total, var):
         return None
+    order = sorted((n for n in range(len(items)) if choice[n]), key=lambda n: (-last[n], n))
     rose = True
     while rose:
         rose = False
-        for n, rungs in enumerate(items):
-            while choice[n]:
-                old, new = rungs[choice[n]], rungs[choice[n] - 1]
-                t, v = total - old[0] + new[0], var - old[2] ** 2 + new[2] ** 2
-                if over(t, v):
+        for n in order:
+            now = items[n][choice[n]]
+            for c in range(choice[n]):
+                new = items[n][c]
+                t, v = total - now[0] + new[0], var - now[2] ** 2 + new[2] ** 2
+                if (c == 0 or new[0] < items[n][0][0]) and not over(t, v):
+                    total, var, choice[n], rose = t, v, c, True
                     break
-                total, var, choice[n], rose = t, v, choice[n] - 1, True
     return choice
 
 
@@ -170,53 +178,27 @@ def logistic_fit(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, float(v)) for k, v in zip(names, w, strict=True)], "name string, weight double")
 
 
-def slips(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def monge_elkan(a: list[str], b: list[str]) -> float:
-    """Greedy best matches of words, each used once, averaged over the longer list; two empty lists are alike."""
-    if not a and not b:
-        return 1.0
-    pairs = sorted(((1 - slips(x, y) / max(len(x), len(y)), -i, -j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-    used_a, used_b, total = set(), set(), 0.0
-    for s, i, j in pairs:
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            total += s
-    return total / max(len(a), len(b))
-
-
 def name_distance(a: str | None, b: str | None) -> float | None:
-    """0 alike to 1 apart, in thousandths: the less of edits and words; versions on one side alone are far; None without letters."""
-    import re
-
-    if not a or not b:
-        return None
-    strip = lambda t: re.sub(r"\s*[(\[][^)\]]*[)\]]", "", t.lower()).strip() or t.lower()
-    x, y = strip(a), strip(b)
-    u, v = re.findall(r"[^\W_]+", x), re.findall(r"[^\W_]+", y)
-    if not u or not v:
-        return None
-    edits = slips(" ".join(u), " ".join(v)) / max(len(" ".join(u)), len(" ".join(v)))
-    extra = 0.2 if bool(re.search(r"[(\[]", a)) != bool(re.search(r"[(\[]", b)) and a.lower() != b.lower() else 0.0
-    return round(min(1.0, min(edits, 1 - monge_elkan(u, v)) + extra * 0.2), 3)
+    """compare.compared() in thousandths; none where a name is missing or the two can't be told."""
+    found = compare.compared(compare.Name(a), compare.Name(b)) if a and b else None
+    return None if found is None else round(found[0], 3)
 
 
 def name_distances(df: DataFrame, a: str, b: str) -> DataFrame:
-    """df with distance of two name columns; null says nothing."""
-
-    def series(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([name_distance(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    d = F.pandas_udf(series, "double")(a, b)
-    return df.withColumn("distance", F.when(~F.isnan(d), d))
+    """df with distance, conflicts and agrees of two name columns; null says nothing. Each different pair of a batch is compared once."""
+
+    def series(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        for p, q in zip(x, y, strict=True):
+            if (p, q) not in known:
+                m, n = (compare.Name(p), compare.Name(q)) if p and q else (None, None)
+                found = compare.compared(m, n) if m else None
+                known[p, q] = (None, None, None) if found is None else (round(found[0], 3), ",".join(sorted(found[1])), compare.agree(m, n))
+        rows = [known[k] for k in zip(x, y, strict=True)]
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("distance", "conflicts", "agrees"))})
+
+    d = F.pandas_udf(series, "distance double, conflicts string, agrees boolean")(a, b)
+    return df.withColumn("_d", d).select(*[df[c] for c in df.columns], "_d.distance", "_d.conflicts", "_d.agrees")
 
 
 def best_shift(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[int, float]:

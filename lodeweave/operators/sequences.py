@@ -68,11 +68,28 @@ def ordered(lines: DataFrame, key: str) -> DataFrame:
     return by_place.join(by_time, [key, "i"]).select(key, "line", "ms", "words").unionByName(lines.filter("ms IS NULL").select(key, "line", "ms", "words"))
 
 
-def merged_frames(lines: DataFrame, key: str, gap_ms: int = 500) -> DataFrame:
-    """A line repeated within the gap of the one before collapses to its first time."""
-    w = Window.partitionBy(key).orderBy("ms", "line")
-    marked = lines.filter("ms IS NOT NULL").withColumn("_new", ~F.coalesce((F.lag("words").over(w) == F.col("words")) & (F.col("ms") - F.lag("ms").over(w) <= gap_ms), F.lit(False)))
-    return marked.filter("_new").drop("_new")
+#: Fixed value: how soon (ms) a line may follow itself and be another frame of one subtitle.
+FRAME_MS = 250
+
+
+def merged_frames(lines: DataFrame, key: str, gap_ms: int = FRAME_MS) -> DataFrame:
+    """Timed lines without those written again: in the subtitle (the lines of one time) that starts under gap_ms after it, or twice at one time.
+
+    A time without words goes where another ends the line already, where the next words are gone, or where words start at it.
+    """
+    timed, worded = lines.filter("ms IS NOT NULL"), F.col("words") != ""
+    by_time = Window.partitionBy(key).orderBy("ms")
+    groups = timed.filter(worded).groupBy(key, "ms").agg(F.collect_set("words").alias("_ws"))
+    groups = groups.select(key, "ms", F.when(F.col("ms") - F.lag("ms").over(by_time) < gap_ms, F.lag("_ws").over(by_time)).alias("_was"))
+    twice = F.row_number().over(Window.partitionBy(key, "ms", "words").orderBy("line")) > 1
+    marked = timed.join(groups, [key, "ms"], "left").withColumn("_gone", worded & (F.coalesce(F.array_contains("_was", F.col("words")), F.lit(False)) | twice))
+    by_line = Window.partitionBy(key).orderBy("line", "ms")
+    after = F.first(F.when(worded, F.col("_gone")), ignorenulls=True).over(by_line.rowsBetween(1, Window.unboundedFollowing))
+    kept = marked.withColumn("_after", F.coalesce(after, F.lit(False))).filter("NOT _gone")
+    at = F.when(worded, F.col("ms"))
+    near = lambda c: F.coalesce(c == F.col("ms"), F.lit(False))
+    drop = ~worded & (F.col("_after") | F.coalesce(F.lag("words").over(by_line) == "", F.lit(False)) | near(F.lag(at).over(by_line)) | near(F.lead(at).over(by_line)))
+    return kept.withColumn("_drop", drop).filter("NOT _drop").drop("_was", "_gone", "_after", "_drop")
 
 
 def typed_out(lines: DataFrame, key: str, least: int = 3) -> DataFrame:
@@ -85,8 +102,23 @@ def typed_out(lines: DataFrame, key: str, least: int = 3) -> DataFrame:
 
 
 def wrapped(lines: DataFrame, key: str) -> DataFrame:
-    """Lines at one time joined in their order."""
-    return lines.filter("ms IS NOT NULL").groupBy(key, "ms").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "words"))), lambda x: x["words"]), " ").alias("words"))
+    """Lines wrapped in two or more at one time, joined: the first opens in capitals, none but the last closes a sentence, the others open in small letters.
+
+    Only neighbours of one stamp each are joined; two lines of one time that each open a sentence stay two.
+    """
+    opens = F.regexp_extract("words", r"\p{L}", 0)
+    w = Window.partitionBy(key).orderBy("line", "ms")
+    one = F.count("*").over(Window.partitionBy(key, "line")) == 1
+    marked = lines.withColumn("_one", one)
+    same = (F.lag("ms").over(w) == F.col("ms")) & F.col("_one") & F.lag("_one").over(w)
+    goes_on = same & opens.rlike(r"^\p{Ll}") & ~F.lag(F.trim("words")).over(w).rlike("[.!?…。！？\"”)]$") & (F.lag(F.trim("words")).over(w) != "")
+    marked = marked.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    head = F.first(opens.rlike(r"^\p{Lu}")).over(Window.partitionBy(key, "_run").orderBy("line", "ms"))
+    marked = marked.withColumn("_part", F.when(head, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy(key, "_run").orderBy("line", "ms"))))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "ms", "words"))), lambda x: F.trim(x["words"])), " ")
+    joined = marked.groupBy(key, "_run", "_part").agg(F.min("line").alias("line"), F.first("ms").alias("ms"), F.count("*").alias("_n"), F.first("words").alias("_one"), whole.alias("_whole"))
+    return joined.select(key, "line", "ms", F.when(F.col("_n") > 1, F.col("_whole")).otherwise(F.col("_one")).alias("words"))
 
 
 def coverage_tenths(first: Column, last: Column, duration_ms: Column) -> Column:

@@ -447,9 +447,18 @@ def ordered_lines(s, d):
     return sequences.ordered(_lines(s, d), "doc_id")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line, ms, words FROM (SELECT *, lag(words) OVER w p, lag(ms) OVER w q FROM x WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY ms, line)) WHERE NOT coalesce(p = words AND ms - q <= 20000, false)")
+_FRAMES = f"""WITH {_LINES}, w AS (SELECT * FROM x WHERE ms IS NOT NULL),
+g AS (SELECT doc_id, ms, list(DISTINCT words) ws FROM w WHERE words <> '' GROUP BY ALL),
+h AS (SELECT doc_id, ms, CASE WHEN ms - lag(ms) OVER o < {sequences.FRAME_MS} THEN lag(ws) OVER o END was FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY ms)),
+m AS (SELECT w.*, words <> '' AND (coalesce(list_contains(was, words), false) OR row_number() OVER (PARTITION BY w.doc_id, w.ms, words ORDER BY line) > 1) gone FROM w LEFT JOIN h ON h.doc_id = w.doc_id AND h.ms = w.ms),
+n AS (SELECT *, coalesce(first_value(CASE WHEN words <> '' THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line, ms ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) soon FROM m),
+k AS (SELECT *, lag(words) OVER o before, lag(CASE WHEN words <> '' THEN ms END) OVER o a, lead(CASE WHEN words <> '' THEN ms END) OVER o b FROM n WHERE NOT gone WINDOW o AS (PARTITION BY doc_id ORDER BY line, ms))
+SELECT doc_id, line, ms, words FROM k WHERE NOT (words = '' AND (soon OR coalesce(before = '', false) OR coalesce(a = ms, false) OR coalesce(b = ms, false)))"""
+
+
+@query(_FRAMES)
 def merged_frames(s, d):
-    return sequences.merged_frames(_lines(s, d), "doc_id", 20000)
+    return sequences.merged_frames(_lines(s, d), "doc_id")
 
 
 @query()
@@ -457,7 +466,11 @@ def typed_out_lines(s, d):
     return sequences.typed_out(_lines(s, d), "doc_id")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, ms, min(line) line, string_agg(words, ' ' ORDER BY line, words) words FROM x WHERE ms IS NOT NULL GROUP BY doc_id, ms")
+@query(f"""WITH {_LINES}, a AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) = 1 one, regexp_extract(words, '\\p{{L}}') opens FROM x),
+b AS (SELECT *, coalesce(lag(ms) OVER o = ms AND one AND lag(one) OVER o AND regexp_matches(opens, '^\\p{{Ll}}') AND trim(lag(words) OVER o) <> '' AND NOT regexp_matches(trim(lag(words) OVER o), '[.!?…。！？"”)]$'), false) onward FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY line, ms)),
+c AS (SELECT *, sum(CASE WHEN onward THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line, ms) run FROM b),
+e AS (SELECT *, regexp_matches(first_value(opens) OVER (PARTITION BY doc_id, run ORDER BY line, ms), '^\\p{{Lu}}') head, row_number() OVER (PARTITION BY doc_id, run ORDER BY line, ms) nth FROM c)
+SELECT doc_id, min(line) line, min(ms) ms, CASE WHEN count(*) > 1 THEN string_agg(trim(words), ' ' ORDER BY line, ms) ELSE min(words) END words FROM e GROUP BY doc_id, run, CASE WHEN head THEN 0 ELSE nth END""")
 def wrapped_lines(s, d):
     return sequences.wrapped(_lines(s, d), "doc_id")
 
@@ -594,6 +607,47 @@ def release_rank(s, d):
     return catalog.best_release(t(s, d, "records"))
 
 
+@query("SELECT record_no, trim(string_split(credit, ', ')[1]) artist FROM records WHERE credit IS NOT NULL")
+def first_artists(s, d):
+    r = t(s, d, "records").filter("credit IS NOT NULL")
+    return r.select("record_no", catalog.first_artist(F.col("credit")).alias("artist"))
+
+
+@query("WITH l AS (SELECT id, record_no, unnest(languages) x, unnest(range(len(languages))) i FROM records WHERE id IS NOT NULL), f AS (SELECT id, x, min((record_no, i)) p FROM l WHERE x IS NOT NULL GROUP BY ALL) SELECT id, string_agg(x, ',' ORDER BY p) languages FROM f GROUP BY id")
+def work_languages(s, d):
+    """Languages of all rows of a recording, each once, in the order first seen."""
+    return catalog.work_languages(t(s, d, "records").filter("id IS NOT NULL"), "id", "record_no", "languages").select("id", F.array_join("languages", ",").alias("languages"))
+
+
+
+@query()
+def print_fits(s, d):
+    """Uploads and recordings of one title: whether the recording may be the print's, and whether title and artist both speak against it."""
+    v = t(s, d, "video_infos").filter("track IS NOT NULL").select("info_no", "track", "artist", "duration_s", T.letters_key(F.col("track")).alias("k"))
+    r = t(s, d, "records").filter("title IS NOT NULL").select("record_no", "id", "title", "credit", (F.col("length_ms") / 1000).alias("seconds"), F.lit(1).alias("sources"), T.letters_key(F.col("title")).alias("k"))
+    both = v.filter("k != ''").join(r, "k")
+    fit = catalog.print_fits(F.col("id"), F.col("seconds"), F.col("sources"), F.col("duration_s"))
+    return both.select("info_no", "record_no", fit.alias("fits"), catalog.another_song(F.col("title"), F.col("credit"), F.col("track"), F.col("artist")).alias("another"))
+
+
+@query("SELECT a.info_no, b.record_no FROM video_infos a JOIN records b ON abs(a.duration_s - b.length_ms / 1000.0) <= 2 AND a.track = b.title AND a.artist = b.credit WHERE trim(a.track) <> '' AND trim(a.artist) <> ''")
+def exact_lyrics_fits(s, d):
+    """Records that may be an upload's by names written alike and a length within two seconds."""
+    v, r = t(s, d, "video_infos").filter("trim(track) != '' AND trim(artist) != ''"), t(s, d, "records")
+    both = v.join(r.select("record_no", "length_ms", r["title"].alias("r_title"), "credit"), (v["track"] == F.col("r_title")) & (v["artist"] == F.col("credit")))
+    return both.filter(catalog.lyrics_fits(F.col("r_title"), F.col("credit"), F.col("length_ms") / 1000, F.col("track"), F.col("artist"), F.col("duration_s"))).select("info_no", "record_no")
+
+
+@query()
+def upload_candidates(s, d):
+    """Of each recording's uploads in order of their number: the first that is its song by name and length, those to be compared, and whether the artist's own channel."""
+    v = t(s, d, "video_infos").select("info_no", "title", F.coalesce("channel", "uploader").alias("channel"), "track", "duration_s")
+    r = t(s, d, "records").filter("title IS NOT NULL").select("record_no", F.col("title").alias("name"), F.element_at("artists", 1).alias("by"), (F.col("length_ms") / 1000).alias("seconds"), T.letters_key(F.col("title")).alias("k"))
+    both = v.withColumn("k", T.letters_key(F.col("track"))).filter("k != ''").join(r, "k")
+    named = catalog.named(F.col("title"), F.col("channel"), F.col("name"), F.col("by"))
+    return catalog.upload_choice(both.withColumn("_named", F.coalesce(named, F.lit(False))), "record_no", "info_no", "_named", "duration_s", "seconds", "channel", "by")
+
+
 @query()
 def other_editions(s, d):
     return catalog.other_editions(t(s, d, "records"))
@@ -708,13 +762,8 @@ def size_total(s, d):
 # --- expressions
 
 
-@query("SELECT info_no, strip_accents(lower(artist)) AS fold FROM video_infos WHERE artist IS NOT NULL AND regexp_full_match(artist, '[\\x00-\\x7Fà-öø-ÿÀ-ÖØ-Þ]*')")
-def fold_text(s, d):
-    return t(s, d, "video_infos").filter(F.col("artist").rlike(r"^[\x00-\x7Fà-öø-ÿÀ-ÖØ-Þ]*\z")).select("info_no", T.folded(F.col("artist")).alias("fold"))
-
-
 @query()
-def fold_text_all(s, d):
+def fold_text(s, d):
     """Every artist, whatever its script."""
     return t(s, d, "video_infos").filter("artist IS NOT NULL").select("info_no", T.folded(F.col("artist")).alias("fold"))
 
@@ -745,28 +794,26 @@ def buckets(s, d):
     return t(s, d, "records").filter("length_ms > 0").select("record_no", M.clock_text(x).alias("clock"), M.step_bucket(x, 5000.0).alias("steps"), M.log_bucket(x, 0.1).alias("log_steps"), M.capped_bucket(x, 30000.0).alias("capped"))
 
 
-_SIZES = ["32 GiB", "1.5 MB", "12K", "7 kb", "100", "3 lions", "2TiB"]
+_SIZED = [("MB", 1000**2), ("KiB", 1024), ("K", 1024), ("kb", 1000), ("", 1), ("TiB", 1024**4), ("lions", None)]
 
 
-@query("SELECT * FROM (VALUES ('32 GiB', 34359738368), ('1.5 MB', 1500000), ('12K', 12288), ('7 kb', 7000), ('100', 100), ('3 lions', NULL), ('2TiB', 2199023255552)) v(size, bytes)")
+@query("SELECT l_orderkey, l_linenumber, concat(CAST(l_quantity AS BIGINT), ' ', u) size, CAST(CAST(l_quantity AS BIGINT) * f AS BIGINT) bytes FROM lineitem JOIN (VALUES " + ", ".join(f"({i}, '{u}', {'NULL' if f is None else f})" for i, (u, f) in enumerate(_SIZED)) + ") v(i, u, f) ON l_orderkey % 7 = i")
 def unit_parse(s, d):
-    return s.createDataFrame([(x,) for x in _SIZES], "size string").select("size", M.size_bytes(F.col("size")).alias("bytes"))
+    """Every line's quantity as a size in one of seven units, one of them none."""
+    x = t(s, d, "lineitem").withColumn("u", F.element_at(F.array(*[F.lit(u) for u, _ in _SIZED]), (F.col("l_orderkey") % 7 + 1).cast("int")))
+    x = x.select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.col("l_quantity").cast("bigint"), "u").alias("size"))
+    return x.withColumn("bytes", M.size_bytes(F.col("size")))
 
 
-@query("SELECT * FROM (VALUES ('-7.52 dB', -752, '-7.52 dB', -1925), ('+3 dB', 300, '+3.00 dB', 768), ('0.05', 5, '+0.05 dB', 13), ('loud', NULL, NULL, NULL)) v(gain, cdb, back, q8)")
+@query("SELECT c_custkey, concat(round(CAST(c_acctbal AS DOUBLE) / 100, 1) + 0.0, ' dB') gain, CAST(round(CAST(c_acctbal AS DOUBLE) / 100, 1) * 100 AS BIGINT) cdb FROM customer")
 def gain_parse(s, d):
-    g = s.createDataFrame([(x,) for x in ("-7.52 dB", "+3 dB", "0.05", "loud")], "gain string").withColumn("cdb", M.gain_cdb(F.col("gain")))
-    return g.select("gain", "cdb", M.gain_text(F.col("cdb")).alias("back"), M.q8(F.col("cdb")).alias("q8"))
-
-
-@query("SELECT a.record_no, levenshtein(x, y) edits, round(levenshtein(x, y) / greatest(length(x), length(y)), 3) AS share FROM (SELECT record_no, regexp_replace(title, '[^ -~]', '', 'g') x, regexp_replace(on_release.title, '[^ -~]', '', 'g') y FROM records) a WHERE length(x) > 0 AND length(y) > 0")
-def edit_distance(s, d):
-    r = t(s, d, "records").select("record_no", F.regexp_replace("title", "[^ -~]", "").alias("x"), F.regexp_replace("on_release.title", "[^ -~]", "").alias("y")).filter("length(x) > 0 AND length(y) > 0")
-    return r.select("record_no", F.levenshtein("x", "y").cast("bigint").alias("edits"), T.edit_share(F.col("x"), F.col("y")).alias("share"))
+    """Every customer's balance read as a gain."""
+    x = t(s, d, "customer").select("c_custkey", F.concat((F.round(F.col("c_acctbal").cast("double") / 100, 1) + F.lit(0.0)).cast("string"), F.lit(" dB")).alias("gain"))
+    return x.withColumn("cdb", M.gain_cdb(F.col("gain")))
 
 
 @query()
-def edit_distance_all(s, d):
+def edit_distance(s, d):
     """Whole titles, empty ones too, by code points; SQL counts bytes."""
     r = t(s, d, "records").select("record_no", F.col("title").alias("x"), F.col("on_release.title").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     return r.select("record_no", F.levenshtein("x", "y").cast("bigint").alias("edits"), T.edit_share(F.col("x"), F.col("y")).alias("share"))
@@ -776,17 +823,11 @@ def edit_distance_all(s, d):
 def name_distances(s, d):
     r = t(s, d, "records").select("record_no", F.col("credit").alias("a"), F.col("on_release.credit").alias("b"))
     out = kernels.name_distances(r, "a", "b")
-    return out.select("record_no", "distance", T.agreement(F.col("distance")).alias("agrees"))
+    return out.select("record_no", "distance", "conflicts", "agrees")
 
 
-@query("SELECT record_no, credit, CAST(len(artists) AS INT) n, array_to_string(list_filter(list_transform(regexp_split_to_array(credit, '(?i)\\s*(;|/|\\s&\\s|,|\\sand\\s)\\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM records WHERE NOT regexp_matches(credit, '(?i)\\s(x|vs\\.?|feat\\.?|ft\\.?|featuring|with|\\+)\\s')")
+@query(r"SELECT record_no, credit, CAST(len(artists) AS INT) n, array_to_string(list_filter(list_transform(regexp_split_to_array(credit, '(?i)\s*(?:;|/|\s&\s|\s\+\s|,|\s(?:and|x|vs\.?|feat\.?|ft\.?|featuring|with)\s)\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM records WHERE credit IS NOT NULL")
 def credit_split(s, d):
-    r = t(s, d, "records").filter(~F.col("credit").rlike(r"(?i)\s(x|vs\.?|feat\.?|ft\.?|featuring|with|\+)\s"))
-    return r.select("record_no", "credit", F.size("artists").alias("n"), F.array_join(T.credit_parts(F.col("credit")), "|").alias("parts"))
-
-
-@query()
-def credit_split_all(s, d):
     """Every credit, those with feat., with, x, vs. and + too."""
     return t(s, d, "records").filter("credit IS NOT NULL").select("record_no", "credit", F.size("artists").alias("n"), F.array_join(T.credit_parts(F.col("credit")), "|").alias("parts"))
 
@@ -805,9 +846,9 @@ def known_schemes(s, d):
     return a.select(F.regexp_extract("k", "^([^:]*):", 1).alias("scheme")).distinct()
 
 
-@query(r"SELECT info_no, regexp_replace(title, '(?i)\s*[(\[]\s*(?:(?:official )?(?:music |lyrics? )?(?:video|audio|visuali[sz]er|clip)|lyrics?|hd|hq|4k|with lyrics)\s*[)\]]\s*$', '') AS title FROM video_infos WHERE title IS NOT NULL AND regexp_matches(title, '[)\]]\s*$') AND length(trim(regexp_replace(title, '(?i)\s*[(\[]\s*(?:(?:official )?(?:music |lyrics? )?(?:video|audio|visuali[sz]er|clip)|lyrics?|hd|hq|4k|with lyrics)\s*[)\]]\s*$', ''))) > 0")
+@query(r"SELECT info_no, regexp_replace(title, '(?i)\s*[(\[]\s*(?:(?:official )?(?:music |lyrics? )?(?:video|audio|visuali[sz]er|clip)|lyrics?|hd|hq|4k|with lyrics)\s*[)\]]\s*$', '') AS title FROM video_infos WHERE title IS NOT NULL AND length(trim(regexp_replace(title, '(?i)\s*[(\[]\s*(?:(?:official )?(?:music |lyrics? )?(?:video|audio|visuali[sz]er|clip)|lyrics?|hd|hq|4k|with lyrics)\s*[)\]]\s*$', ''))) > 0")
 def clean_video_tags(s, d):
-    v = t(s, d, "video_infos").filter(F.col("title").rlike(r"[)\]]\s*$"))
+    v = t(s, d, "video_infos").filter("trim(title) != ''")
     rules = [r for r in cleaning.TITLE_RULES if r[0] == "packaging.video_tags"]
     return cleaning.cleaned(v.select("info_no", "title"), "title", rules).select("info_no", "title")
 
@@ -821,8 +862,12 @@ def clean_titles(s, d):
 
 @query()
 def clean_artists(s, d):
-    v = t(s, d, "video_infos").select("info_no", F.coalesce("artist", "channel").alias("artist"), "album", "album_artist")
-    out = cleaning.cleaned(v, "artist", cleaning.ARTIST_RULES, context={"album": F.col("album"), "album_artist": F.col("album_artist")})
+    """Artists, else channels, cleaned; whether an artist is an album of the album's artist is told by all rows."""
+    every = t(s, d, "video_infos")
+    v = every.select("info_no", F.coalesce("artist", "channel").alias("artist"), "album_artist", F.col("artist").isNotNull().alias("structured"))
+    owned = every.select(T.letters_key(F.col("album_artist")).alias("_o"), T.letters_key(F.col("album")).alias("_k")).filter("_o != '' AND _k != ''").dropDuplicates().withColumn("own_album", F.lit(True))
+    v = v.withColumns({"_o": T.letters_key(F.col("album_artist")), "_k": T.letters_key(F.col("artist"))}).join(owned, ["_o", "_k"], "left")
+    out = cleaning.cleaned(v, "artist", cleaning.ARTIST_RULES, context={c: F.col(c) for c in ("own_album", "album_artist", "structured")})
     return out.select("info_no", "artist", F.array_join("artist_rules", ",").alias("rules"))
 
 
@@ -842,14 +887,8 @@ def clean_lines(s, d):
     return lines.select("doc_id", "line", "ms", "words", F.array_join("rules", ",").alias("rules"))
 
 
-@query(r"""SELECT info_no, len(regexp_extract_all(title, '[(\[][^)\]]*[)\]]')) + len(regexp_extract_all(title, '\s[|–—-]\s')) AS decorations FROM video_infos WHERE title IS NOT NULL AND NOT regexp_matches(title, '[\x{a0}\x{2000}-\x{3000}]')""")
+@query(r"""SELECT info_no, len(regexp_extract_all(title, '[(\[][^)\]]*[)\]]')) + len(regexp_extract_all(title, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][|–—-][\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS decorations FROM video_infos WHERE title IS NOT NULL""")
 def decoration_count(s, d):
-    v = t(s, d, "video_infos").filter("title IS NOT NULL").filter(~F.col("title").rlike(r"[\x{a0}\x{2000}-\x{3000}]"))
-    return v.select("info_no", T.decoration_count(F.col("title")).cast("bigint").alias("decorations"))
-
-
-@query()
-def decoration_count_all(s, d):
     """Every title, with spaces and dashes of any kind."""
     return t(s, d, "video_infos").filter("title IS NOT NULL").select("info_no", T.decoration_count(F.col("title")).cast("bigint").alias("decorations"))
 
@@ -918,13 +957,8 @@ def placeholder_values(s, d):
     return t(s, d, "video_infos").filter(labels.placeholder(F.col("artist"))).select("info_no")
 
 
-@query("WITH n AS (SELECT id, credit, count(*) records FROM records WHERE regexp_matches(credit, '^[ -~]*$') GROUP BY ALL), m AS (SELECT id, max(records) records FROM n GROUP BY id) SELECT id, credit, records FROM n JOIN m USING (id, records)")
+@query("WITH n AS (SELECT id, credit, count(*) records FROM records WHERE id IS NOT NULL AND credit IS NOT NULL GROUP BY ALL), m AS (SELECT id, max(records) records FROM n GROUP BY id) SELECT id, credit, records FROM n JOIN m USING (id, records)")
 def artist_spelling(s, d):
-    return albums.artist_spelling(t(s, d, "records").filter(F.col("credit").rlike(r"^[ -~]*\z")), "id", "credit")
-
-
-@query()
-def artist_spelling_all(s, d):
     """Every spelling of a credit has its vote, whatever its script."""
     return albums.artist_spelling(t(s, d, "records").filter("id IS NOT NULL AND credit IS NOT NULL"), "id", "credit")
 
@@ -955,13 +989,8 @@ def median_speed(s, d):
     return albums.median_speed(m, "source_key", "ppm")
 
 
-@query("SELECT record_no FROM records WHERE contains(concat(' ', regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' river ') AND regexp_matches(title, '^[ -~]*$')")
-def whole_word(s, d):
-    return t(s, d, "records").filter(F.col("title").rlike(r"^[ -~]*\z") & labels.whole_word(F.col("title"), "River")).select("record_no")
-
-
 @query()
-def whole_word_all(s, d):
+def whole_word(s, d):
     """Every title, with accents, wide letters and unseen characters."""
     return t(s, d, "records").filter(labels.whole_word(F.col("title"), "River")).select("record_no")
 
@@ -991,14 +1020,8 @@ def due_sources(s, d):
     return t(s, d, "claims").filter("NOT vetted").join(late, "source_key", "left_semi").select("claim_no")
 
 
-@query("SELECT lower(name) AS name, CAST(sum(votes) AS BIGINT) votes FROM genres WHERE NOT regexp_matches(name, '[;|,/&>\"''+]|\\\\|\\t|\\n| and ') AND votes IS NOT NULL GROUP BY 1")
-def genre_votes(s, d):
-    g = t(s, d, "genres").filter(~F.col("name").rlike(r"""[;|,/&>"'+]|\\|\t|\n| and """) & F.col("votes").isNotNull())
-    return g.groupBy(F.lower("name").alias("name")).agg(F.sum("votes").alias("votes"))
-
-
 @query()
-def genre_votes_all(s, d):
+def genre_votes(s, d):
     """Every genre, a packed name's votes going to each of its values once; votes are null where none is known."""
     g = t(s, d, "genres").filter("name IS NOT NULL")
     split = packed.split_values(g.select(F.col("name").alias("text")).dropDuplicates(), packed.label_lexicon(g.select("name")))

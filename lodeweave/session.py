@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,14 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written as a table in the shared checkpoint folder so that later stages don't compute them again.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named (tests on one machine) a
-    temporary one is made. A table is compressed and read by column, unlike a checkpoint; it goes when the session
+    The folder is the one the session names in spark.checkpoint.dir. Where none is named, a session on one machine gets a
+    temporary one; a cluster is refused, as its machines share no such folder. A table is compressed and read by column, unlike a checkpoint; it goes when the session
     ends, or with discard().
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeweave-"))
     path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -308,13 +308,13 @@ def test_whole_tables(spark, tmp_path):
     spark.createDataFrame(rec, "record_no int, id string, title string, credit string, artists array<string>, on_release struct<title: string>").write.parquet(f"{tmp_path}/records.parquet")
     spark.createDataFrame([(1, "Rock; Pop", 3), (2, "rock", 2), (3, "Drum & Bass", 4), (4, "Pop, ROCK, pop", 1), (5, "Fado", None), (6, None, 9), (7, "Pop", 0)], "genre_no int, name string, votes int").write.parquet(f"{tmp_path}/genres.parquet")
     got = lambda name: {tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
-    assert got("genre_votes_all") == {("rock", 6), ("pop", 4), ("drum & bass", 4), ("fado", None)}
-    assert got("decoration_count_all") == {(i, {0: 2, 10: 1}.get(i, 0)) for i, x in enumerate(titles) if x is not None}
-    assert {i for (i,) in got("whole_word_all")} == {2, 3, 4, 6}
+    assert got("genre_votes") == {("rock", 6), ("pop", 4), ("drum & bass", 4), ("fado", None)}
+    assert got("decoration_count") == {(i, {0: 2, 10: 1}.get(i, 0)) for i, x in enumerate(titles) if x is not None}
+    assert {i for (i,) in got("whole_word")} == {2, 3, 4, 6}
     parts = ["Ann Poe|Ida Wren"] * 2 + ["Ann Poe|Ida Wren|Owl", "Ann Poe|Ida Wren", "Max", "Änn|Poe", "Änn|Poe", "Ann|Poe"]
-    assert got("credit_split_all") == {(i, credits[i], 1, x) for i, x in enumerate(parts)}
-    assert got("artist_spelling_all") == {("0", c, 1) for c in credits[:5]} | {("1", "Änn, Poe", 2)}
-    fold = dict(got("fold_text_all"))
+    assert got("credit_split") == {(i, credits[i], 1, x) for i, x in enumerate(parts)}
+    assert got("artist_spelling") == {("0", c, 1) for c in credits[:5]} | {("1", "Änn, Poe", 2)}
+    fold = dict(got("fold_text"))
     assert (fold[2], fold[6], fold[7], fold[11], len(fold)) == ("moon river", "река river", "funf", "𝒜b", 11)
 
     def far(a, b):
@@ -326,7 +326,7 @@ def test_whole_tables(spark, tmp_path):
         return row[-1]
 
     want = {(i, far(t, o[0]), round(far(t, o[0]) / max(len(t), len(o[0])), 3)) for i, _, t, _, _, o in rec if t is not None}
-    assert got("edit_distance_all") == want
+    assert got("edit_distance") == want
 
 
 def test_print_pairs_are_all_pairs_of_a_song(spark, tmp_path):
