@@ -243,7 +243,7 @@ def label_model(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[tuple
     """
     votes = np.array([p for p, _ in patterns], dtype=int)
     n = np.array([c for _, c in patterns], dtype=float)
-    sizes = list(VOTES.values())
+    sizes = list(VOTES.values())[: votes.shape[1]]
     hold = BELIEF * n.sum()  # how much the prior belief that higher votes speak for a match weighs in each table
     good = [np.array([0.0, *(GROWTH**i for i in range(k - 1))]) for k in sizes]
     good = [g / g.sum() * hold for g in good]
