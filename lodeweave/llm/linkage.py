@@ -170,12 +170,15 @@ def _of_artist(u: DataFrame, r: DataFrame) -> DataFrame:
     mine = u.select("uid", F.explode("u.tokens").alias("t"), F.col("u.title_keys").alias("ks")).select("uid", "t", F.explode("ks").alias("k"))
     mine = mine.join(known, "t").filter(F.length("k").between(F.col("least") - SLIPS, F.col("most") + SLIPS))
     mine = cut(mine.select("uid", "t", "k", F.xxhash64("t", "k").alias("h")))
-    a = _pieces(mine.filter("length(k) >= 4").dropDuplicates(["h"]).withColumn("n", F.length("k"))).select("h", "k", F.expr("xxhash64(t, n, i, substring(k, f + 1, w))").alias("p"))
+    asked = mine.filter("length(k) >= 4").dropDuplicates(["h"])
+    a = _pieces(asked.withColumn("n", F.length("k"))).select("h", F.expr("xxhash64(t, n, i, substring(k, f + 1, w))").alias("p"))
     # For each length n of an upload's title, each piece at each place where it can be: i slips before it and m - i after it at most.
     b = theirs.dropDuplicates(["g"]).select("*", F.explode(F.expr(f"sequence(-{SLIPS}, {SLIPS})")).alias("o")).withColumn("n", F.length("x") - F.col("o")).filter("n >= 4")
     b = _pieces(b).filter("abs(o) <= m").selectExpr("*", "greatest(0, f - i, f + o - m + i) AS least", "least(length(x) - w, f + i, f + o + m - i) AS most").filter("least <= most")
-    b = b.withColumn("f", F.explode(F.sequence("least", "most"))).select("g", "x", F.expr("xxhash64(t, n, i, substring(x, f + 1, w))").alias("p"))
-    met = a.join(b, "p").filter((F.col("h") != F.col("g")) & F.levenshtein("k", "x", SLIPS).between(1, F.length("k") / 4))
+    b = b.withColumn("f", F.explode(F.sequence("least", "most"))).select("g", F.expr("xxhash64(t, n, i, substring(x, f + 1, w))").alias("p"))
+    # Pieces travel as hashes; texts join the pairs that share one.
+    met = a.join(b, "p").filter("h != g").select("h", "g").dropDuplicates()
+    met = met.join(asked.select("h", "k"), "h").join(theirs.select("g", "x").dropDuplicates(["g"]), "g").filter(F.levenshtein("k", "x", SLIPS).between(1, F.length("k") / 4))
     number = lambda c: F.trim(F.regexp_replace(c, r"\D+", " "))
     met = met.select("h", "g", F.when(number("k") == number("x"), 2).otherwise(1).alias("title")).dropDuplicates(["h", "g"])
     pair = mine.select("uid", "h"), theirs.select("rid", "g")
