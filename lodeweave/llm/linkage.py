@@ -173,7 +173,8 @@ def _of_artist(u: DataFrame, r: DataFrame) -> DataFrame:
     asked = mine.filter("length(k) >= 4").dropDuplicates(["h"])
     a = _pieces(asked.withColumn("n", F.length("k"))).select("h", F.expr("xxhash64(t, n, i, substring(k, f + 1, w))").alias("p"))
     # For each length n of an upload's title, each piece at each place where it can be: i slips before it and m - i after it at most.
-    b = theirs.dropDuplicates(["g"]).select("*", F.explode(F.expr(f"sequence(-{SLIPS}, {SLIPS})")).alias("o")).withColumn("n", F.length("x") - F.col("o")).filter("n >= 4")
+    lengths = asked.groupBy("t").agg(F.collect_set(F.length("k")).alias("ns"))  # only lengths that an upload of the word has
+    b = theirs.dropDuplicates(["g"]).join(lengths, "t").select("*", F.explode(F.expr(f"sequence(-{SLIPS}, {SLIPS})")).alias("o")).withColumn("n", F.length("x") - F.col("o")).filter("n >= 4 AND array_contains(ns, n)").drop("ns")
     b = _pieces(b).filter("abs(o) <= m").selectExpr("*", "greatest(0, f - i, f + o - m + i) AS least", "least(length(x) - w, f + i, f + o + m - i) AS most").filter("least <= most")
     b = b.withColumn("f", F.explode(F.sequence("least", "most"))).select("g", F.expr("xxhash64(t, n, i, substring(x, f + 1, w))").alias("p"))
     # Pieces travel as hashes; texts join the pairs that share one.
