@@ -141,24 +141,28 @@ def edge_drops(lines: DataFrame, key: str, words: str, off: set[str], title: Col
     held, by = (F.col(words) != "") & ~F.col(words).rlike("(?i)" + ID_TAG), Window.partitionBy(key).orderBy("line", "ms")
     whole = Window.partitionBy(key)
     lines = lines.withColumn("_kind", F.when(held, line_kinds(F.col(words), title, artist))).withColumn("_note", F.when(held, F.col(words).rlike(_NOTE)))
-    sung = F.when(F.col("_kind") == "sung", F.col("line"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
     talk = F.when(held & ~F.col("_note"), F.col("line"))
+    lines = lines.withColumns({"_from": F.min(talk).over(whole), "_to": F.max(talk).over(whole)})
+    noted = yes(subtitle) & yes(F.col("_note")) & (F.col("_from").isNull() | (F.col("line") < F.col("_from")) | (F.col("line") > F.col("_to")))
+    if "lyrics.packaging.commentary" in off:
+        noted = F.lit(False)
+    lines = lines.withColumn("_noted", noted)
+    sung = F.when((F.col("_kind") == "sung") & ~F.col("_noted"), F.col("line"))
     lines = lines.withColumns({
-        "_first": F.min(sung).over(whole), "_last": F.max(sung).over(whole), "_from": F.min(talk).over(whole), "_to": F.max(talk).over(whole),
+        "_first": F.min(sung).over(whole), "_last": F.max(sung).over(whole),
         "_b": F.last("_kind", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)) == "credit",
         "_a": F.first("_kind", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)) == "credit",
     })
     edge = F.col("_first").isNull() | (F.col("line") < F.col("_first")) | (F.col("line") > F.col("_last"))
-    yes = lambda c: F.coalesce(c, F.lit(False))
     drops = {
-        "lyrics.packaging.commentary": yes(subtitle) & yes(F.col("_note")) & (F.col("_from").isNull() | (F.col("line") < F.col("_from")) | (F.col("line") > F.col("_to"))),
         "lyrics.packaging.title": yes(F.col("_kind") == "heading") & edge,
         "lyrics.packaging.credits": yes(F.col("_kind") == "credit") & (edge | yes(F.col("_a")) | yes(F.col("_b")) | F.col(words).rlike(_SURE_CREDIT)),
     }
-    gone = F.lit(False)
+    gone = F.col("_noted")
     for name, test in drops.items():
         gone = gone if name in off else gone | test
-    return lines.filter(~gone).drop("_kind", "_note", "_first", "_last", "_from", "_to", "_a", "_b")
+    return lines.filter(~gone).drop("_kind", "_note", "_noted", "_first", "_last", "_from", "_to", "_a", "_b")
 
 
 def without_headers(lines: DataFrame, key: str, words: str) -> DataFrame:
