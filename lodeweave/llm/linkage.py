@@ -167,8 +167,8 @@ def _of_artist(u: DataFrame, r: DataFrame) -> DataFrame:
     """
     theirs = r.filter("length(r.title_key) > 0").select("rid", F.col("r.title_key").alias("x"), F.explode("r.tokens").alias("t")).withColumn("g", F.xxhash64("t", "x"))
     known = theirs.groupBy("t").agg(F.min(F.length("x")).alias("least"), F.max(F.length("x")).alias("most"))
-    mine = u.select("uid", F.explode("u.tokens").alias("t"), F.col("u.title_keys").alias("ks")).select("uid", "t", F.explode("ks").alias("k"))
-    mine = mine.join(known, "t").filter(F.length("k").between(F.col("least") - SLIPS, F.col("most") + SLIPS))
+    mine = u.select("uid", F.explode("u.tokens").alias("t"), F.col("u.title_keys").alias("ks")).join(known, "t")
+    mine = mine.select("uid", "t", "least", "most", F.explode("ks").alias("k")).filter(F.length("k").between(F.col("least") - SLIPS, F.col("most") + SLIPS))
     mine = cut(mine.select("uid", "t", "k", F.xxhash64("t", "k").alias("h")))
     asked = mine.filter("length(k) >= 4").dropDuplicates(["h"])
     a = _pieces(asked.withColumn("n", F.length("k"))).select("h", F.expr("xxhash64(t, n, i, substring(k, f + 1, w))").alias("p"))
