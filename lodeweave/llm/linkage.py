@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 from .lookalike import mapped
 
 # What titles of uploads carry besides the title, and the takes a recording may be.
@@ -144,7 +144,7 @@ def recordings(records: DataFrame) -> DataFrame:
     return per.filter(F.col("title").isNotNull()).select(F.xxhash64("id").alias("rid"), "id", "length_ms", f(F.struct(*fields)).alias("r"))
 
 
-def candidates(u: DataFrame, r: DataFrame) -> DataFrame:
+def candidates(u: DataFrame, r: DataFrame, cuts: list | None = None) -> DataFrame:
     """uid, rid, title: pairs that share a title and an artist's word, or a title and about a length (title 3), and pairs
     that share an artist's word and whose titles are some slips apart (2, or 1 where their numbers differ).
 
@@ -155,10 +155,10 @@ def candidates(u: DataFrame, r: DataFrame) -> DataFrame:
     mine = u.filter("duration_s IS NOT NULL AND NOT isnan(duration_s)").select("uid", F.explode(F.array(b - 1, b, b + 1)).alias("b"), F.col("u.title_keys").alias("ks")).select("uid", "b", F.explode("ks").alias("k")).select("uid", F.xxhash64("k", "b").alias("p"))
     theirs = r.filter("length(r.title_key) > 0 AND length_ms IS NOT NULL").select("rid", F.xxhash64("r.title_key", F.floor(F.col("length_ms") / (1000 * BUCKET_S))).alias("p"))
     timed = mine.join(theirs, "p").select("uid", "rid", F.lit(3).alias("title"))
-    return timed.unionByName(_of_artist(u, r)).groupBy("uid", "rid").agg(F.max("title").alias("title"))
+    return timed.unionByName(_of_artist(u, r, cuts)).groupBy("uid", "rid").agg(F.max("title").alias("title"))
 
 
-def _of_artist(u: DataFrame, r: DataFrame) -> DataFrame:
+def _of_artist(u: DataFrame, r: DataFrame, cuts: list | None = None) -> DataFrame:
     """uid, rid, title of all pairs that share an artist's word and hold equal titles, or titles up to SLIPS and a quarter of the upload's letters apart.
 
     Titles that differ by n slips have one of n + 1 pieces of either in common, moved by n letters at most; so pieces of
@@ -170,6 +170,8 @@ def _of_artist(u: DataFrame, r: DataFrame) -> DataFrame:
     mine = u.select("uid", F.explode("u.tokens").alias("t"), F.col("u.title_keys").alias("ks")).join(known, "t")
     mine = mine.select("uid", "t", "least", "most", F.explode("ks").alias("k")).filter(F.length("k").between(F.col("least") - SLIPS, F.col("most") + SLIPS))
     mine = cut(mine.select("uid", "t", "k", F.xxhash64("t", "k").alias("h")))
+    if cuts is not None:
+        cuts.append(mine)
     asked = mine.filter("length(k) >= 4").dropDuplicates(["h"])
     a = _pieces(asked.withColumn("n", F.length("k"))).select("h", F.expr("xxhash64(t, n, i, substring(k, f + 1, w))").alias("p"))
     # For each length n of an upload's title, each piece at each place where it can be: i slips before it and m - i after it at most.
@@ -214,10 +216,10 @@ def vote_columns(pairs: DataFrame, title: Column) -> DataFrame:
     return pairs.select("uid", "rid", gap.alias("gap"), *[v.cast("int").alias(f"v_{n}") for n, v in votes.items()])
 
 
-def judged(u: DataFrame, r: DataFrame) -> DataFrame:
-    """uid, rid, gap and the votes of all candidate pairs."""
+def judged(u: DataFrame, r: DataFrame, cuts: list | None = None) -> DataFrame:
+    """uid, rid, gap and the votes of all candidate pairs. Tables cut on the way are added to cuts."""
     part = lambda df, key, side, *more: df.select(key, "duration_s" if side == "u" else "length_ms", F.struct(*[F.col(f"{side}.{c}") for c in ("names", "tokens", "version", *more)]).alias(side))
-    both = candidates(u, r).join(part(r, "rid", "r", "title"), "rid").join(part(u, "uid", "u", "track", "topic"), "uid")
+    both = candidates(u, r, cuts).join(part(r, "rid", "r", "title"), "rid").join(part(u, "uid", "u", "track", "topic"), "uid")
     return vote_columns(both, F.col("title"))
 
 
@@ -269,7 +271,7 @@ def label_model(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[dict[tuple
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    learned = [{"vote": v, "share": float(share[j]), "weights": [float(x) for x in tables[j]]} for j, v in enumerate(VOTES)]
+    learned = [{"vote": v, "share": float(share[j]), "weights": [float(x) for x in tables[j]]} for j, v in enumerate(list(VOTES)[: len(sizes)])]
     return {tuple(int(x) for x in p): float(q) for (p, _), q in zip(patterns, post, strict=True)}, learned
 
 
@@ -282,7 +284,10 @@ def link(videos: DataFrame, records: DataFrame) -> DataFrame:
     other columns make their vote say nothing. Empty tables give no rows.
     """
     u, r = cut(uploads(videos)), cut(recordings(records))
-    voted = cut(judged(u, r))
+    cuts: list[DataFrame] = []
+    voted = cut(judged(u, r, cuts))
+    for table in cuts:
+        discard(table)  # voted is written
     names = [f"v_{v}" for v in VOTES]
     counted = [(tuple(row[c] for c in names), row["n"]) for row in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
     if not counted:
