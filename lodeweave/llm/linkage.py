@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut, discard
 from .lookalike import mapped
 
-# What titles of uploads carry besides the title, and the takes a recording may be.
+# What titles of uploads carry besides the title, and the takes a recording may be.
 DECORATION = re.compile(
     r"[(\[]\s*(?:official\s+)?(?:music\s+|lyric\s+)?(?:video|audio|lyrics?|visuali[sz]er|clip|hd|hq|4k|full\s+track)\s*[)\]]|\|\s*full\s+track\b|\b(?:hd|hq|4k)\s*$|\bfull\s+track\s*$", re.I
 )

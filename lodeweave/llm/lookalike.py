@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, UNSEEN
 
-# Cyrillic and Greek letters that look like a Latin one.
+# Cyrillic and Greek letters that look like a Latin one.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіј", "ABESIJKMHOPCTYXaeopcyxsij", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι", "ABEZHIKMNOPTYXovi", strict=True))
 LATIN = CYRILLIC | GREEK
