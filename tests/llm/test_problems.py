@@ -134,6 +134,20 @@ def test_kinds_that_are_not_trusted_are_learned(spark):
     assert len(got & set(range(len(good) + len(sure), len(good) + len(sure) + len(held)))) >= 0.9 * len(held) and len(got & set(range(len(good)))) <= 4
 
 
+def test_residue_is_found_however_many_names_there_are(spark, monkeypatch):
+    """A table far larger than the fitting sample: often written residue is in it, trusted texts are residue whatever names are like."""
+    monkeypatch.setattr(residue, "FIT_OTHERS", 400)
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("bdfgklmnprst")) + r.choice(list("aeiou")) for _ in range(3)).title()
+    good = [f"{word()} {word()}" for _ in range(6000)] + [f"{word()} Not Found" for _ in range(600)]
+    slots = ("artist", "album", "title", "track", "name")
+    bad = [f % w for w in slots for f in ("${%s}", "{{ %s }}", "An error occurred while loading %s", "[[%s_1]]", "Placeholder %s", "[%s name]", "$%s$", "Your %s name", "Insert %s here")]
+    texts = [*good, *(x for x in [*bad, "404 Not Found", "Page not found"] for _ in range(40))]
+    got = {x["row_no"] for x in residue.found(videos(spark, [{"info_no": i, "artist": x} for i, x in enumerate(texts)]), records(spark, [])).collect()}
+    assert len(got & set(range(len(good), len(texts)))) >= 0.85 * (len(texts) - len(good)) and min(got) >= len(good)
+    assert got >= {i for i, x in enumerate(texts) if x in ("404 Not Found", "Page not found")}
+
+
 def test_passages_of_a_field_are_decided_together(spark, monkeypatch):
     """Two elements that are likely residue each make a field residue, one alone doesn't."""
     monkeypatch.setattr(residue, "scored", lambda rows, least: rows.withColumn("p", F.lit(0.6)).filter("text LIKE 'x%'"))
