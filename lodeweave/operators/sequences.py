@@ -150,7 +150,7 @@ def print_matches(prints: DataFrame, key: str, pairs: DataFrame, a: str, b: str,
     half = half.join(seldom, [key, "half"], "left_semi")
     x = half.select(F.col(key).alias(a), "half", F.col("pos").alias("i"))
     y = half.select(F.col(key).alias(b), "half", F.col("pos").alias("j"))
-    votes = pairs.join(x, a).join(y, [b, "half"]).groupBy(a, b, (F.col("i") - F.col("j")).alias("offset")).agg(F.count("*").alias("votes"))
+    votes = pairs.join(x, a).join(y.hint("merge"), [b, "half"]).groupBy(a, b, (F.col("i") - F.col("j")).alias("offset")).agg(F.count("*").alias("votes"))
     w = Window.partitionBy(a, b).orderBy(F.desc("votes"), "offset")
     few = votes.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= tries)
     p = sounding.select(F.col(key).alias(a), F.col("pos").alias("i"), F.col("word").alias("u"))

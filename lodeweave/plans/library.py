@@ -10,6 +10,7 @@ from ..functions import labels
 from ..functions import measures as M
 from ..functions import text as T
 from ..operators import albums, catalog, cleaning, components, incremental, joins, kernels, packed, sequences, votes
+from ..session import cut
 from ..session import table as t
 from ..sources import files
 from . import templates, terms
@@ -479,15 +480,17 @@ def wrapped_lines(s, d):
 def print_pairs(s, d):
     """Documents of one song laid over each other as prints of 32-bit words: each with every later one of its song.
 
-    Documents of equal prints are laid over others once, as one.
+    Documents of equal prints are laid over others once, as one. Prints and pairs are cut, so that no join of them is a
+    broadcast and the words are run through once.
     """
     docs = t(s, d, "documents").filter("song_no IS NOT NULL").select("song_no", "doc_id", F.transform(T.words(F.col("text")), lambda x: F.crc32(x.cast("binary"))).alias("words"))
-    docs = docs.withColumn("print", F.sha2(F.array_join("words", " "), 256))
+    docs = cut(docs.withColumn("print", F.sha2(F.array_join("words", " "), 256)))
     first = docs.groupBy("print").agg(F.min("doc_id").alias("rep"), F.any_value("words").alias("words"))
-    of = docs.select("song_no", "doc_id", "print").join(first.select("print", "rep"), "print")
+    of = cut(docs.select("song_no", "doc_id", "print").join(first.select("print", "rep"), "print"))
     one, two = of.select("song_no", F.col("doc_id").alias("a"), F.col("rep").alias("p")), of.select("song_no", F.col("doc_id").alias("b"), F.col("rep").alias("q"))
-    pairs = one.join(two, "song_no").filter("a < b").select("a", "b", "p", "q")
-    p = sequences.prints_long(first.filter("size(words) > 0"), "rep", "words")
+    pairs = cut(one.join(two, "song_no").filter("a < b").select("a", "b", "p", "q"))
+    paired = pairs.select(F.explode(F.array("p", "q")).alias("rep")).dropDuplicates()
+    p = cut(sequences.prints_long(first.filter("size(words) > 0").join(paired, "rep", "left_semi"), "rep", "words"))
     met = sequences.print_matches(p, "rep", pairs.select("p", "q").dropDuplicates(), "p", "q")
     return pairs.join(met, ["p", "q"]).drop("p", "q")
 

@@ -339,6 +339,18 @@ def test_print_pairs_are_all_pairs_of_a_song(spark, tmp_path):
     assert got == {(1, 3): (-1, 60), (1, 4): (0, 60), (3, 4): (1, 60)}
 
 
+def test_print_pairs_are_joined_without_broadcasts(spark, tmp_path):
+    """The driver holds no side of a join, and the documents are read by one scan, not one for each join."""
+    import __spark_entry__ as entry
+
+    texts = [(i, " ".join(f"w{(j * j + i * 7919) % 1009}" for j in range(60)), i % 3) for i in range(9)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, song_no bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = entry.queries()["print_pairs"](spark, str(tmp_path))
+    assert pairs.count() == len(pairs.collect())
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "documents.parquet" not in plan
+
+
 def test_bandwidth_of_a_quiet_start():
     from lodeweave.operators import media
 
