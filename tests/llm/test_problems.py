@@ -95,6 +95,33 @@ def test_names_of_common_words_are_linked(spark, monkeypatch):
     assert got == {(x, x) for x in plain} | set(variants.items())
 
 
+def test_common_words_leave_nothing_out(spark, monkeypatch):
+    """The links are those of blocks of any size: slips of two letters, of first letters, of short words and of spaces beside a common word."""
+    variants = {
+        "Mibaudonsk Draitov": "Mubeudonsk Draitov", "Vera Ann Draitov": "Veraan Draitov", "Golniest Lo": "Golniest", "Lars Xoliest Draitov": "Lars Golniest Draitov", "Jim P. Ohchestra": "Kim Philharmonic Orchestra",
+        "Robert James K": "James Robert", "Bob Winetr": "Robert Winter", "Karsur Vo": "Karsur Va", "Tarl Gilniest Dratov": "Karl Golniest Draitov",
+    }
+    plain = sorted(set(variants.values()))
+    data = [(x, 9, True) for x in plain] + [(x, 1, False) for x in variants]
+    data = spark.createDataFrame(data, "name string, n bigint, plain boolean")
+    got = {}
+    for common in (10**9, 1, 0):
+        monkeypatch.setattr(names, "COMMON", common)
+        got[common] = rows(names.attributed(data))
+    assert got[10**9] == got[1] == got[0] == {(x, x) for x in plain} | set(variants.items())
+
+
+def test_texts_two_slips_apart_are_met(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    texts = sorted({"".join(r.choice(list("ab"), r.integers(0, 9))) for _ in range(150)})
+    want = {(a, b) for a in texts for b in texts if a != b and names.slips(a, b, 2) <= 2}
+    data = spark.createDataFrame([(t, True, True) for t in texts], "x string, asks boolean, offers boolean")
+    for long in (40, 4):
+        monkeypatch.setattr(names, "LONG", long)
+        got = rows(names._close(data))
+        assert want <= got and all(names.slips(a, b, 4) <= 4 for a, b in got)
+
+
 # --- 2
 
 
