@@ -100,6 +100,7 @@ def test_common_words_leave_nothing_out(spark, monkeypatch):
     variants = {
         "Mibaudonsk Draitov": "Mubeudonsk Draitov", "Vera Ann Draitov": "Veraan Draitov", "Golniest Lo": "Golniest", "Lars Xoliest Draitov": "Lars Golniest Draitov", "Jim P. Ohchestra": "Kim Philharmonic Orchestra",
         "Robert James K": "James Robert", "Bob Winetr": "Robert Winter", "Karsur Vo": "Karsur Va", "Tarl Gilniest Dratov": "Karl Golniest Draitov",
+        "Lars Bob M. A. Golniest Drxitov Karsur": "Lars Robert Milo Anna Golniest Draitov Karsur",
     }
     plain = sorted(set(variants.values()))
     data = [(x, 9, True) for x in plain] + [(x, 1, False) for x in variants]
