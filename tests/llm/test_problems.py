@@ -86,6 +86,19 @@ def test_spellings_are_linked(spark):
     assert names.found(r.limit(0), al.limit(0), v.limit(0)).count() == 0
 
 
+def test_plans_of_spellings_stay_small(spark):
+    """The driver plans a query anew at each of its stages, so its memory is set by the largest plan: none has over 100 nodes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    al = aliases(spark, ["James Harrow", "Vale Brothers"], ["J. Harrow", "Harrow, Jim"])
+    r = records(spark, [{"artists": ["Vale Brothers"], "credit": "Vale Bros."}])
+    assert names.found(r, al, videos(spark, [{"artist": "VALE BROTHERS"}, {"artist": "Ann & Vale"}])).count() == 6
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 10_000)
+    sizes = [store.planGraph(ran.apply(i).executionId()).allNodes().size() for i in range(ran.size())]
+    assert len(sizes) > 10 and max(sizes) <= 100
+
+
 def test_names_of_common_words_are_linked(spark, monkeypatch):
     monkeypatch.setattr(names, "COMMON", 1)  # nearly every word is common
     plain = ["James Harrow", "Robert Harrow", "Rose Harrow", "James Winter", "Robert Winter", "Rose Winter", "Vale Philharmonic Orchestra", "Mount Philharmonic Orchestra", "Vale Chamber Orchestra", "Winter"]
